@@ -10,8 +10,8 @@ The global order puts members with few occurrences first. It comes from a counti
 shingle of the corpus: a fixed number of cells, so what is broadcast never grows. Any order gives the same
 links; this one keeps the lists short.
 
-Inside a list, candidates must be close in size and in a parity bitmap (each differing bit proves a differing
-member), compared in NumPy without emitting rows. Of the survivors only a spanning forest leaves the task,
+Inside a list, candidates must be close in size, have enough members left after their place in the list's order, and be close in a parity bitmap (each
+differing bit proves a differing member), compared in NumPy without emitting rows. Of the survivors only a spanning forest leaves the task,
 so a list of m near copies gives at most m - 1 rows. Forest edges are then verified on the whole sets. If
 one fails, the surviving pairs across different components are all emitted and verified in a second
 round, which makes the components exact.
@@ -127,23 +127,25 @@ def size_boundary(sizes: np.ndarray, list_length: float, percent: int) -> int:
 
 
 def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, boundary: int) -> DataFrame:
-    """For each text: set size n, two set hashes, its keys (subsets or list members) and its parity bitmap."""
+    """For each text: set size n, two set hashes, its first members in the global order, its subset keys and its parity bitmap."""
     cells = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
     bits = SKETCH_BITS
 
-    def keys_of(h: np.ndarray, load: np.ndarray) -> np.ndarray:
+    def subsets_of(h: np.ndarray) -> np.ndarray:
         n = len(h)
-        d = _removable(n, percent)
-        out = []
-        if n <= boundary:
-            with np.errstate(over="ignore"):
-                m = T.mix(h)
-                total = m.sum(dtype=np.uint64)
-                subs = [total - sum((m[i] for i in c), np.uint64(0)) + np.uint64(n - j) for j in range(d + 1) for c in combinations(range(n), j)]
-            out.append(T.mix(np.array(subs, np.uint64) ^ np.uint64(0x5B5B)))
-        if n >= (boundary + 1) * percent // 100:
-            out.append(h[np.lexsort((h, load))[: d + 1]])
-        return np.unique(np.concatenate(out))
+        if n > boundary:
+            return np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            m = T.mix(h)
+            total = m.sum(dtype=np.uint64)
+            subs = [total - sum((m[i] for i in c), np.uint64(0)) + np.uint64(n - j) for j in range(_removable(n, percent) + 1) for c in combinations(range(n), j)]
+        return np.unique(T.mix(np.array(subs, np.uint64) ^ np.uint64(0x5B5B)))
+
+    def firsts_of(h: np.ndarray, load: np.ndarray) -> np.ndarray:
+        n = len(h)
+        if n < (boundary + 1) * percent // 100:
+            return np.zeros(0, np.uint64)
+        return h[np.lexsort((h, load))[: _removable(n, percent) + 1]]
 
     def run(batches):
         for batch in batches:
@@ -156,22 +158,19 @@ def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, bounda
                     run1 = np.concatenate([[np.uint64(0)], np.cumsum(m, dtype=np.uint64)])
                     run2 = np.concatenate([[np.uint64(0)], np.cumsum(T.mix(m), dtype=np.uint64)])
                     s1, s2 = run1[at[1:]] - run1[at[:-1]], run2[at[1:]] - run2[at[:-1]]
-                keys, maps = [], []
+                firsts, subs, maps = [], [], []
                 for i in range(len(sizes)):
                     own = h[at[i] : at[i + 1]]
-                    if len(own):
-                        keys.append(keys_of(own, load[at[i] : at[i + 1]]).view(np.int64))
-                        maps.append(bitmap(own))
-                    else:
-                        keys.append(np.zeros(0, np.int64))
-                        maps.append(b"")
-                kat = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
+                    firsts.append(firsts_of(own, load[at[i] : at[i + 1]]) if len(own) else own)
+                    subs.append(subsets_of(own) if len(own) else own)
+                    maps.append(bitmap(own) if len(own) else b"")
+                lists = [T.list_column(np.concatenate(x).view(np.int64), np.concatenate([[0], np.cumsum([len(y) for y in x])]), pa.int64()) for x in (firsts, subs)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), T.list_column(np.concatenate(keys), kat, pa.int64()), pa.array(maps, pa.binary())],
-                    ["doc_id", "n", "s1", "s2", "keys", "bits"],
+                    [b.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), *lists, pa.array(maps, pa.binary())],
+                    ["doc_id", "n", "s1", "s2", "firsts", "subsets", "bits"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, firsts array<long>, subsets array<long>, bits binary")
 
 
 def bitmap(h: np.ndarray) -> bytes:
@@ -206,9 +205,16 @@ def _folded(maps: dict[int, np.ndarray], row_at: np.ndarray, size: np.ndarray, r
     return out
 
 
-def list_pairs(key: np.ndarray, doc: np.ndarray, n: np.ndarray, bits: list[bytes], label: np.ndarray, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of whole lists, sorted by key and n: a spanning forest of the pairs that size and bitmap
-    allow, or every such pair with different labels."""
+def near(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets i and j (n[i] <= n[j]) of a list can be linked and have no common member before this one: at most
+    n - pos members of each are left, and the overlap must reach t (a + b) / (100 + t)."""
+    need = -(-percent * (n[i] + n[j]) // (100 + percent))
+    return (n[i] - pos[i] >= need) & (n[j] - pos[j] >= need) & (100 * n[i] >= percent * n[j])
+
+
+def list_pairs(key: np.ndarray, doc: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: list[bytes], label: np.ndarray, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of whole lists, sorted by key and n: a spanning forest of the pairs that size, place in the list
+    and bitmap allow, or every such pair with different labels."""
     size = np.array([len(b) * 8 for b in bits], np.int64)
     row_at, maps = np.zeros(len(bits), np.int64), {}
     for s in np.unique(size):
@@ -228,9 +234,10 @@ def list_pairs(key: np.ndarray, doc: np.ndarray, n: np.ndarray, bits: list[bytes
     while len(live):
         live = live[live + step < len(key)]
         other = live + step
-        near = (key[live] == key[other]) & (100 * n[live] >= percent * n[other])
-        live, other = live[near], other[near]
-        i, j = live, other
+        same = (key[live] == key[other]) & (100 * n[live] >= percent * n[other])
+        live, other = live[same], other[same]
+        fit = near(n, pos, live, other, percent)
+        i, j = live[fit], other[fit]
         if forest and len(i):
             apart = root[i] != root[j]
             i, j = i[apart], j[apart]
@@ -283,27 +290,33 @@ def _sorted_by_key(df: DataFrame) -> DataFrame:
 
 
 def partnered(rows: DataFrame, percent: int) -> DataFrame:
-    """The (key, doc, n) rows that have another row of the same key and a size that could link."""
+    """The (key, doc, n, pos) rows that have another row of their key with which near() holds."""
 
     def work(t):
-        key, n = t.column("key").to_numpy(), t.column("n").to_numpy()
-        next_ok = np.zeros(len(key), bool)
-        next_ok[:-1] = (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:])
-        keep = next_ok.copy()
-        keep[1:] |= next_ok[:-1]
+        key, n, pos = (t.column(c).to_numpy() for c in ("key", "n", "pos"))
+        keep, live, step = np.zeros(len(key), bool), np.arange(len(key)), 1
+        while len(live):
+            live = live[live + step < len(key)]
+            live = live[(key[live] == key[live + step]) & (100 * n[live] >= percent * n[live + step])]
+            i, j = live, live + step
+            wanted = ~(keep[i] & keep[j])
+            i, j = i[wanted], j[wanted]
+            fit = near(n, pos, i, j, percent)
+            keep[i[fit]] = keep[j[fit]] = True
+            step += 1
         if keep.any():
             yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
 
-    return _sorted_by_key(rows).mapInArrow(_by_list(work), "key long, doc long, n long")
+    return _sorted_by_key(rows).mapInArrow(_by_list(work), "key long, doc long, n long, pos int")
 
 
 def candidate_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
     def work(t):
-        a, b = list_pairs(*(t.column(c).to_numpy() for c in ("key", "doc", "n")), t.column("bits").to_pylist(), t.column("label").to_numpy(), percent, forest)
+        a, b = list_pairs(*(t.column(c).to_numpy() for c in ("key", "doc", "n", "pos")), t.column("bits").to_pylist(), t.column("label").to_numpy(), percent, forest)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return _sorted_by_key(rows.select("key", "doc", "n", "bits", "label")).mapInArrow(_by_list(work), "a long, b long").distinct()
+    return _sorted_by_key(rows.select("key", "doc", "n", "pos", "bits", "label")).mapInArrow(_by_list(work), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -325,8 +338,10 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     sig = cut(signatures(docs, k, percent, sketch, boundary))
     full = sig.where("n > 0 and doc_id is not null")
     classes = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = cut(full.alias("f").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n", "keys", "bits").dropDuplicates(["doc_id"]))
-    rows = cut(partnered(reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"), "n"), percent))
+    copies = full.join(classes, ["s1", "s2", "n"]).where("doc_id <> rep").select("doc_id", "rep")
+    reps = full.join(small_or_shuffled(copies.select("doc_id").distinct()), "doc_id", "left_anti")
+    keys = reps.select("doc_id", "n", F.size("firsts").alias("placed"), F.posexplode(F.concat("firsts", "subsets")).alias("at", "key"))
+    rows = cut(partnered(keys.select("key", F.col("doc_id").alias("doc"), "n", F.when(F.col("at") < F.col("placed"), F.col("at")).otherwise(0).alias("pos")), percent))
     maps = reps.select(F.col("doc_id").alias("doc"), "bits")
     tried = cut(verified(candidate_pairs(rows.join(maps, "doc").withColumn("label", F.col("doc")), percent, True), docs, k, percent))
     links = tried.where("linked").select("a", "b")
@@ -335,8 +350,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
         labelled = rows.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").join(maps, "doc").withColumn("label", F.coalesce("component", "doc"))
         more = candidate_pairs(labelled, percent, False).join(tried.select("a", "b"), ["a", "b"], "left_anti")
         links = links.union(verified(cut(more), docs, k, percent).where("linked").select("a", "b"))
-    member = full.join(classes, ["s1", "s2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    parts = connected_components(links.union(member))
+    parts = connected_components(links.union(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     return sig.select("doc_id", F.col("n").alias("n_shingles")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
