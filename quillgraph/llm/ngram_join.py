@@ -13,8 +13,8 @@ links; this one keeps the lists short.
 Inside a list, candidates must be close in size, have enough members left after their place in the list's order, and be close in a parity bitmap (each
 differing bit proves a differing member), compared in NumPy without emitting rows. Of the survivors only a spanning forest leaves the task,
 so a list of m near copies gives at most m - 1 rows. Forest edges are then verified on the whole sets. If
-one fails, the surviving pairs across different components are all emitted and verified in a second
-round, which makes the components exact.
+one fails, rows that are still in a surviving pair across components get bitmaps eight times as fine for another forest;
+the few pairs that survive these and still lie across components are all emitted and verified, which makes the components exact.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; with fewer than k
 words, the whole sequence is the one shingle; identical sets link (even when their texts differ); a null doc_id
@@ -173,9 +173,9 @@ def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, bounda
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, firsts array<long>, subsets array<long>, bits binary")
 
 
-def bitmap(h: np.ndarray) -> bytes:
-    """Parities of hash bits: a power of two of bits, at least as many as members and 128."""
-    size = max(128, 1 << (len(h) - 1).bit_length())
+def bitmap(h: np.ndarray, per_member: int = 1) -> bytes:
+    """Parities of hash bits: a power of two of bits, at least 128 and per_member times the members."""
+    size = max(128, 1 << (per_member * len(h) - 1).bit_length())
     p = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1
     return np.packbits(p, bitorder="little").tobytes()
 
@@ -212,16 +212,17 @@ def near(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, percent:
     return (n[i] - pos[i] >= need) & (n[j] - pos[j] >= need) & (100 * n[i] >= percent * n[j])
 
 
-def list_pairs(key: np.ndarray, doc: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: list[bytes], label: np.ndarray, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of whole lists, sorted by key and n: a spanning forest of the pairs that size, place in the list
-    and bitmap allow, or every such pair with different labels."""
+def list_pairs(key: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: list[bytes], label: np.ndarray, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (row numbers) of whole lists, sorted by key and n: those with different labels that size, place in the list and
+    bitmap allow; all of them, or a spanning forest over the labels of each list."""
     size = np.array([len(b) * 8 for b in bits], np.int64)
     row_at, maps = np.zeros(len(bits), np.int64), {}
     for s in np.unique(size):
         pick = np.flatnonzero(size == s)
         row_at[pick] = np.arange(len(pick))
         maps[int(s)] = np.frombuffer(b"".join(bits[i] for i in pick), np.uint64).reshape(len(pick), int(s) // 64)
-    root = np.arange(len(key))
+    _, first, same = np.unique(np.stack([key, label]), axis=1, return_index=True, return_inverse=True)
+    root = first[same.ravel()]
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -260,8 +261,7 @@ def list_pairs(key: np.ndarray, doc: np.ndarray, n: np.ndarray, pos: np.ndarray,
             left.extend(i.tolist())
             right.extend(j.tolist())
         step += 1
-    a, b = doc[np.array(left, np.int64)], doc[np.array(right, np.int64)]
-    return np.minimum(a, b), np.maximum(a, b)
+    return np.array(left, np.int64), np.array(right, np.int64)
 
 
 def _by_list(work):
@@ -310,13 +310,44 @@ def partnered(rows: DataFrame, percent: int) -> DataFrame:
     return _sorted_by_key(rows).mapInArrow(_by_list(work), "key long, doc long, n long, pos int")
 
 
+def _pairs_of(t, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    key, n, pos, label = (t.column(c).to_numpy() for c in ("key", "n", "pos", "label"))
+    return list_pairs(key, n, pos, t.column("bits").to_pylist(), label, percent, forest)
+
+
 def candidate_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of documents from lists of (key, doc, n, pos, bits, label)."""
+
+    def work(t):
+        i, j = _pairs_of(t, percent, forest)
+        doc = t.column("doc").to_numpy()
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j]))], ["a", "b"])
+
+    return _sorted_by_key(rows.select("key", "doc", "n", "pos", "bits", "label")).mapInArrow(_by_list(work), "a long, b long").where("a <> b").distinct()
+
+
+def near_misses(rows: DataFrame, percent: int) -> DataFrame:
+    """The (key, doc, n, pos) rows that are still in a candidate pair across labels."""
+
     def work(t):
-        a, b = list_pairs(*(t.column(c).to_numpy() for c in ("key", "doc", "n", "pos")), t.column("bits").to_pylist(), t.column("label").to_numpy(), percent, forest)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        i, j = _pairs_of(t, percent, False)
+        if len(i):
+            yield from t.select(["key", "doc", "n", "pos"]).take(pa.array(np.unique(np.concatenate([i, j])))).combine_chunks().to_batches()
+
+    return _sorted_by_key(rows.select("key", "doc", "n", "pos", "bits", "label")).mapInArrow(_by_list(work), "key long, doc long, n long, pos int")
 
-    return _sorted_by_key(rows.select("key", "doc", "n", "pos", "bits", "label")).mapInArrow(_by_list(work), "a long, b long").distinct()
+
+def fine_bitmaps(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc, bits) with eight bits a member, for the documents in ids (doc_id)."""
+
+    def run(batches):
+        for b in batches:
+            maps = [bitmap(np.array(x.as_py(), np.int64).view(np.uint64), 8) for x in b.column("items")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(maps, pa.binary())], ["doc", "bits"])
+
+    sets = shingle_sets(docs.join(small_or_shuffled(ids), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"])
+    return sets.mapInArrow(run, "doc long, bits binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -329,6 +360,12 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.select("a", "b", (100 * common >= percent * (F.size("x") + F.size("y") - common)).alias("linked"))
 
 
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with the component of their document as label."""
+    parts = connected_components(links)
+    return rows.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
+
+
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (smallest linked doc_id, itself included)."""
     docs = docs.select("doc_id", "text")
@@ -346,10 +383,14 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     tried = cut(verified(candidate_pairs(rows.join(maps, "doc").withColumn("label", F.col("doc")), percent, True), docs, k, percent))
     links = tried.where("linked").select("a", "b")
     if not tried.where("not linked").isEmpty():
-        parts = connected_components(links)
-        labelled = rows.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").join(maps, "doc").withColumn("label", F.coalesce("component", "doc"))
-        more = candidate_pairs(labelled, percent, False).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        links = links.union(verified(cut(more), docs, k, percent).where("linked").select("a", "b"))
+        missed = cut(near_misses(_labelled(rows, links).join(maps, "doc"), percent))
+        fine = cut(fine_bitmaps(docs, missed.select(F.col("doc").alias("doc_id")).distinct(), k))
+        again = _labelled(missed, links).join(fine, "doc")
+        more = cut(verified(cut(candidate_pairs(again, percent, True).join(tried.select("a", "b"), ["a", "b"], "left_anti")), docs, k, percent))
+        links = links.union(more.where("linked").select("a", "b"))
+        seen = tried.select("a", "b").union(more.select("a", "b"))
+        rest = candidate_pairs(_labelled(missed, links).join(fine, "doc"), percent, False).join(seen, ["a", "b"], "left_anti")
+        links = links.union(verified(cut(rest), docs, k, percent).where("linked").select("a", "b"))
     parts = connected_components(links.union(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     return sig.select("doc_id", F.col("n").alias("n_shingles")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

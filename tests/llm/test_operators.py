@@ -447,7 +447,7 @@ def test_forest_with_failing_edges_is_completed(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "_close", lambda n, maps, row_at, size, i, j, percent: np.ones(len(i), bool))
     n, comp = brute_components(texts, list(range(60)), 3, 90)
     key, doc = np.zeros(60, np.int64), np.arange(60)
-    a, b = ngram_join.list_pairs(key, doc, np.full(60, 78), np.zeros(60, int), [b"\0" * 16] * 60, doc, 90, True)
+    a, b = ngram_join.list_pairs(key, np.full(60, 78), np.zeros(60, int), [b"\0" * 16] * 60, doc, 90, True)
     assert len(a) == 59
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs(spark, texts), 3, 90).collect()}
     assert [got[i] for i in range(60)] == comp
