@@ -75,11 +75,12 @@ def reply_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     chosen = leaves.withColumn("rank", F.row_number().over(order))
     if branches is not None:
         chosen = chosen.where(F.col("rank") <= branches)
-    path = chosen.select("conv", F.col("node").alias("leaf"), "rank", "node", "depth", F.lit(0).cast("long").alias("above"))
+    # cut at each level: the plan would double with every self-join
+    path = cut(chosen.select("conv", F.col("node").alias("leaf"), "rank", "node", "depth", F.lit(0).cast("long").alias("above")))
     for i, level in enumerate(levels):
         l = level.select(F.col("conv").alias("c"), F.col("node").alias("n"), "up")
         higher = path.join(l, path["conv"].eqNullSafe(l["c"]) & (path["node"] == l["n"])).select("conv", "leaf", "rank", F.col("up").alias("node"), "depth", (F.col("above") + 2**i).alias("above"))
-        path = path.union(higher)
+        path = cut(path.union(higher))
     return path.select("conv", "leaf", "rank", (F.col("depth") - 1 - F.col("above")).alias("position"), "node")
 
 
