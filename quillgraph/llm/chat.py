@@ -57,20 +57,22 @@ def reply_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     ids = m.select(F.col("conv").alias("c"), F.col("node").alias("n"))
     tree = m.join(ids, m["conv"].eqNullSafe(ids["c"]) & (m["parent"] == ids["n"]) & (m["parent"] != m["node"]), "left").select("conv", "node", F.col("n").alias("up"), F.lit(0).cast("long").alias("depth"), "score")
     # tree.up is the ancestor 2^i above; depth and score sum what lies below it on the path, the node included
+    # only unfinished rows join again, so a round costs what is left of the long paths, not every message
     state = cut(tree.select("conv", "node", "up", F.lit(1).cast("long").alias("depth"), "score"))
-    levels = []
-    while not state.where("up is not null").isEmpty():
+    done, active, levels = state.where("up is null"), state.where("up is not null"), []
+    while not active.isEmpty():
         if len(levels) > 40:
             raise ValueError("the reply graph has a cycle")
-        levels.append(state.select("conv", "node", "up").where("up is not null"))
-        a, b = state.alias("a"), state.select("conv", "node", "up", "depth", "score").alias("b")
+        levels.append(active.select("conv", "node", "up"))
+        a, b = active.alias("a"), done.union(active).alias("b")
         state = cut(
-            a.join(b, F.col("a.conv").eqNullSafe(F.col("b.conv")) & (F.col("a.up") == F.col("b.node")), "left").select(
-                "a.conv", "a.node", F.col("b.up").alias("up"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"), (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score")
+            a.join(b, F.col("a.conv").eqNullSafe(F.col("b.conv")) & (F.col("a.up") == F.col("b.node"))).select(
+                "a.conv", "a.node", F.col("b.up").alias("up"), (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.score") + F.col("b.score")).alias("score")
             )
         )
+        done, active = done.union(state.where("up is null")), state.where("up is not null")
     parents = tree.where("up is not null").select(F.col("conv").alias("c"), F.col("up").alias("u")).distinct()
-    leaves = state.join(parents, state["conv"].eqNullSafe(parents["c"]) & (state["node"] == parents["u"]), "left_anti")
+    leaves = done.join(parents, done["conv"].eqNullSafe(parents["c"]) & (done["node"] == parents["u"]), "left_anti")
     order = Window.partitionBy("conv").orderBy(F.desc(F.col("score") / F.col("depth")), F.desc("depth"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order))
     if branches is not None:
