@@ -39,7 +39,7 @@ pairs as (select x.blk as r, y.blk as s, case when x.blk = y.blk then cast(x.k *
 full_conn as (select c.r, c.s, c.m, n, kr, ks from conn c join pairs using (r, s)),
 zero as (select r, s, n from pairs anti join conn using (r, s)),
 nb as (select s.u as v, b.blk as blk, count(*) as n from sym s join blk b on b.v = s.v group by 1, 2),
-moves as (select row_number() over (order by src, dst) as move_id, src as i, bs as a, dst as j, bd as b from lab where bs <> bd and src % 50 = 0),
+moves as (select src * 4294967296 + dst as move_id, src as i, bs as a, dst as j, bd as b from lab where bs <> bd),
 prob as (select *, case when m = n then 1 - 1e-12 else m::double / n end as p from full_conn),
 we as (select r, s, n, least(n / (2 * p * (1 - p)), 1e12) as w from prob union all select blk, blk, cast(k * (k - 1) / 2 as bigint), 1e12 from sizes where blk not in (select r from conn where r = s)),
 wn as (select z.blk, least(coalesce(x, 0) + coalesce(y, 0), 1e12) as w from sizes z
@@ -83,8 +83,8 @@ def _stats(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _moves(e: DataFrame, b: DataFrame) -> DataFrame:
-    c = B.cross_edges(e, b).where("i % 50 = 0")
-    return c.select(F.row_number().over(Window.orderBy("i", "j")).cast("long").alias("move_id"), "i", "a", "j", "b")
+    """Every cross-block edge as a swap; the id is made of the pair, so no global order is needed."""
+    return B.cross_edges(e, b).select((F.col("i") * 4294967296 + F.col("j")).alias("move_id"), "i", "a", "j", "b")
 
 
 @query("select src, dst from e")
@@ -213,11 +213,13 @@ def swap_delta_nll(spark, d):
     return B.swap_delta_nll(delta, cut(B.connectivity(e, b)), B.sizes(b)).select("move_id", F.round("delta_nll", 4).alias("delta_nll"))
 
 
-@query(_DELTA + "select r, s, cast(sum(m) as bigint) as m from (select r, s, m from conn union all select r, s, de from delta where move_id = 1) group by 1, 2 having sum(m) <> 0")
+@query(_DELTA + "select r, s, cast(sum(m) as bigint) as m from (select r, s, m from conn union all select r, s, de from delta where move_id = (select min(move_id) from moves)) group by 1, 2 having sum(m) <> 0")
 def apply_swap_conn(spark, d):
     e, _, b = _parts(spark, d)
     e = cut(e)
-    return B.apply_delta(B.connectivity(e, b), B.swap_delta(_moves(e, b).where("move_id = 1"), e, b))
+    moves = _moves(e, b)
+    first = moves.join(F.broadcast(moves.agg(F.min("move_id").alias("move_id"))), "move_id", "left_semi")
+    return B.apply_delta(B.connectivity(e, b), B.swap_delta(first, e, b))
 
 
 @query("select src as i, bs as a, dst as j, bd as b from lab where bs <> bd")
@@ -323,25 +325,25 @@ def lcc_edges(spark, d):
     return G.within(e, G.largest_component(G.components(e, part_nodes(spark, d))))
 
 
-_BFS = """, walk(s, v, d) as (select v, v, 0 from nodes where v % 400 = 7 union select w.s, y.v, w.d + 1 from walk w join sym y on y.u = w.v where w.d < 4), dist as (select s, v, cast(min(d) as bigint) as d from walk group by 1, 2) """
+_BFS = """, walk(s, v, d) as (select v, v, 0 from nodes union select w.s, y.v, w.d + 1 from walk w join sym y on y.u = w.v where w.d < 4), dist as (select s, v, cast(min(d) as bigint) as d from walk group by 1, 2) """
 
 
 @query(_BFS + "select s, v, d from dist")
 def bfs_distances(spark, d):
     e, n, _ = _parts(spark, d)
-    return G.bfs(e, n.where("v % 400 = 7"), 4)
+    return G.bfs(e, n, 4)
 
 
 @query(_BFS + "select round(avg(d), 8) as mean_distance from dist where d > 0")
 def avg_path_length(spark, d):
     e, n, _ = _parts(spark, d)
-    return G.bfs(e, n.where("v % 400 = 7"), 4).where("d > 0").agg(F.round(F.avg("d"), 8).alias("mean_distance"))
+    return G.bfs(e, n, 4).where("d > 0").agg(F.round(F.avg("d"), 8).alias("mean_distance"))
 
 
-@query(_BFS.rstrip() + ", walk2(s, v, d) as (select v, v, 0 from nodes where v % 400 = 7 union select w.s, y.v, w.d + 1 from walk2 w join sym2 y on y.u = w.v where w.d < 4), dist2 as (select s, v, min(d) as d from walk2 group by 1, 2)" + _emd("select d as x from dist where d > 0", "select d as x from dist2 where d > 0"))
+@query(_BFS.rstrip() + ", walk2(s, v, d) as (select v, v, 0 from nodes union select w.s, y.v, w.d + 1 from walk2 w join sym2 y on y.u = w.v where w.d < 4), dist2 as (select s, v, min(d) as d from walk2 group by 1, 2)" + _emd("select d as x from dist where d > 0", "select d as x from dist2 where d > 0"))
 def path_emd(spark, d):
     e, n, _ = _parts(spark, d)
-    a, b = (G.bfs(x, n.where("v % 400 = 7"), 4).where("d > 0").select(F.col("d").alias("x")) for x in (e, co_purchase(spark, d, "R", 30)))
+    a, b = (G.bfs(x, n, 4).where("d > 0").select(F.col("d").alias("x")) for x in (e, co_purchase(spark, d, "R", 30)))
     return G.wasserstein(a, b).select(F.round("emd", 8).alias("emd"))
 
 
