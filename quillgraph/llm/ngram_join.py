@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .spark_util import connected_components, cut, shuffle_partitions, small_or_shuffled
+from .spark_util import connected_components, cut, release, shuffle_partitions, small_or_shuffled
 
 SKETCH_BITS = 20
 #: Subsets one small set may enumerate at most, which bounds the rows of a text.
@@ -360,12 +360,16 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.select("a", "b", (100 * common >= percent * (F.size("x") + F.size("y") - common)).alias("linked"))
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """Rows with the component of their document as label."""
-    parts = connected_components(links)
     return rows.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
 
 
+def _stars(parts: DataFrame) -> DataFrame:
+    """Links (a, b) of each document to its component's smallest: the same components as the links they came from, nearly settled."""
+    return parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (smallest linked doc_id, itself included)."""
     docs = docs.select("doc_id", "text")
@@ -379,18 +383,23 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     reps = full.join(small_or_shuffled(copies.select("doc_id").distinct()), "doc_id", "left_anti")
     keys = reps.select("doc_id", "n", F.size("firsts").alias("placed"), F.posexplode(F.concat("firsts", "subsets")).alias("at", "key"))
     rows = cut(partnered(keys.select("key", F.col("doc_id").alias("doc"), "n", F.when(F.col("at") < F.col("placed"), F.col("at")).otherwise(0).alias("pos")), percent))
+    release(docs.sparkSession)
     maps = reps.select(F.col("doc_id").alias("doc"), "bits")
     tried = cut(verified(candidate_pairs(rows.join(maps, "doc").withColumn("label", F.col("doc")), percent, True), docs, k, percent))
-    links = tried.where("linked").select("a", "b")
+    parts = cut(connected_components(tried.where("linked").select("a", "b")))
+    links = _stars(parts)
+    release(docs.sparkSession)
     if not tried.where("not linked").isEmpty():
-        missed = cut(near_misses(_labelled(rows, links).join(maps, "doc"), percent))
+        missed = cut(near_misses(_labelled(rows, parts).join(maps, "doc"), percent))
         fine = cut(fine_bitmaps(docs, missed.select(F.col("doc").alias("doc_id")).distinct(), k))
-        again = _labelled(missed, links).join(fine, "doc")
+        again = _labelled(missed, parts).join(fine, "doc")
         more = cut(verified(cut(candidate_pairs(again, percent, True).join(tried.select("a", "b"), ["a", "b"], "left_anti")), docs, k, percent))
-        links = links.union(more.where("linked").select("a", "b"))
+        release(docs.sparkSession)
+        parts = cut(connected_components(links.union(more.where("linked").select("a", "b"))))
         seen = tried.select("a", "b").union(more.select("a", "b"))
-        rest = candidate_pairs(_labelled(missed, links).join(fine, "doc"), percent, False).join(seen, ["a", "b"], "left_anti")
-        links = links.union(verified(cut(rest), docs, k, percent).where("linked").select("a", "b"))
+        rest = cut(candidate_pairs(_labelled(missed, parts).join(fine, "doc"), percent, False).join(seen, ["a", "b"], "left_anti"))
+        links = _stars(parts).union(cut(verified(rest, docs, k, percent)).where("linked").select("a", "b"))
+        release(docs.sparkSession)
     parts = connected_components(links.union(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     return sig.select("doc_id", F.col("n").alias("n_shingles")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

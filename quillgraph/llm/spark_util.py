@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable
 
@@ -25,6 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Collect garbage on both sides of the driver: Spark's cleaner deletes the shuffle files and checkpoints of finished rounds
+    only once nothing refers to them any more, and a driver with memory to spare may not get there for many rounds."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -89,6 +97,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(down, "v").select(F.col("m").alias("x"), F.explode(F.array("u", "v")).alias("y"))
         e = cut(small.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+        del both, low, large, down, small
+        release(e.sparkSession)
         now = state(e)
         if now == seen:
             break
