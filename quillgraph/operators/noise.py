@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,3 +122,21 @@ def planted_partition(blocks: DataFrame, p_in: float, p_out: float, seed: int) -
     pairs = possible_pairs(size).select("r", "s", F.when(F.col("r") == F.col("s"), p_in).otherwise(p_out).alias("p"))
     x = pairs.join(blocks.select(F.col("v").alias("u"), F.col("blk").alias("r")), "r").join(blocks.select("v", F.col("blk").alias("s")), "s").where("r <> s or u < v")
     return x.select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst"), "p").where(u01(seed, "src", "dst") < F.col("p")).select("src", "dst")
+
+
+def homogeneous_sigma(blocks: int, eps: float, delta: float, tail: float, sensitivity: float) -> float:
+    """One sigma for all sizes and counts."""
+    total = blocks + blocks * (blocks + 1) / 2 * sensitivity**2
+    return math.sqrt(total / (eps**2 / (2 * math.log(1.25 / (delta + tail)))))
+
+
+def homogeneous_draw(conn: DataFrame, size: DataFrame, sigma: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(blk, k) of at least 1 and (r, s, m) with the same noise on every size and stored count. Counts are cut to integers, then
+    held to the pairs that the rounded noisy sizes leave; sizes of blocks without any count stay unrounded, as doubles."""
+    k = F.greatest(F.lit(1.0), F.col("k") + sigma * normal(seed, "blk"))
+    touched = conn.where("m <> 0").select(F.explode(F.array("r", "s")).alias("blk")).distinct().withColumn("t", F.lit(True))
+    drawn = size.select("blk", k.alias("k")).join(touched, "blk", "left").select("blk", F.when(F.col("t"), F.bround("k")).otherwise(F.col("k")).alias("k"))
+    x = conn.where("m <> 0").select("r", "s", (F.col("m") + sigma * normal(seed + 10, "r", "s")).cast("long").alias("m"))
+    c = x.where("m <> 0").join(drawn.select(F.col("blk").alias("r"), F.col("k").alias("kr")), "r").join(drawn.select(F.col("blk").alias("s"), F.col("k").alias("ks")), "s")
+    full = F.when(F.col("r") == F.col("s"), F.col("kr") * (F.col("kr") - 1) / 2).otherwise(F.col("kr") * F.col("ks")).cast("long")
+    return drawn, c.select("r", "s", F.least("m", full).alias("m"))

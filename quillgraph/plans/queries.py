@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import activation_threshold, gaussian_constant, u01
 from ..operators import blocks as B
+from ..operators import chain as C
 from ..operators import graph as G
 from ..operators import noise as N
+from ..operators import partition as P
+from ..operators import spectral as E
 from ..sources.graphs import co_purchase, keep_first, part_blocks, part_nodes
 from .session import cut
 
@@ -500,3 +503,102 @@ def block_size_mode(spark, d):
 @query("select blk, k, cast(sum(k) over (order by blk) - k as bigint) as first_node from sizes")
 def prefix_offsets(spark, d):
     return _stats(spark, d)[1].select("blk", "k", (F.sum("k").over(Window.orderBy("blk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")).alias("first_node"))
+
+
+_CHANCES = {"uniform_swap": 0.25, "edge_swap": 0.45, "triadic_swap": 0.3}
+
+
+@query(f"select cast(i as bigint) as i, case when {_u(SEED, 'i')} < 0.25 then 'uniform_swap' when {_u(SEED, 'i')} < 0.7 then 'edge_swap' else 'triadic_swap' end as move_type from (select unnest(range(0, 5000)) as i)")
+def move_type_choice(spark, d):
+    return spark.range(5000).select(F.col("id").alias("i")).select("i", C.move_type(u01(SEED, "i"), _CHANCES).alias("move_type"))
+
+
+@query(_DELTA + f"select move_id, delta_nll < -1e-9 or {_u(SEED, 'move_id')} < exp(-least(round(delta_nll, 6) / 0.5, 700)) as accepted from scored")
+def metropolis_acceptance(spark, d):
+    e, _, b = _parts(spark, d)
+    e = cut(e)
+    s = B.swap_delta_nll(B.swap_delta(_moves(e, b), e, b), cut(B.connectivity(e, b)), B.sizes(b)).withColumn("delta_nll", F.round("delta_nll", 6))
+    return s.select("move_id", C.accepted(F.col("delta_nll"), u01(SEED, "move_id"), F.lit(0.5), "metropolis").alias("accepted"))
+
+
+@query(f"select cast(row_number() over (order by u, i, j) - 1 as bigint) as move_id, i, a, j, b from (select src as i, bs as a, dst as j, bd as b, {_u(SEED, 'src', 'dst')} as u from lab where bs <> bd order by u, i, j limit 25)")
+def edge_swap_picks(spark, d):
+    e, _, b = _parts(spark, d)
+    return C.pick(B.cross_edges(e, b), 25, SEED)
+
+
+@query(f"select x.blk as r, y.blk as s from sizes x join sizes y on x.blk < y.blk left join conn c on c.r = x.blk and c.s = y.blk order by case when c.m > 0 then 0 else 1 end, {_u(SEED, 'x.blk', 'y.blk')}, 1, 2 limit least(40, 2 * (select count(*) from sizes))")
+def diagnostic_panel(spark, d):
+    return C.panel(*_stats(spark, d), 40, SEED)
+
+
+@query(f"""select cast(id as bigint) as move_id, i.v as i, p.blk as a, j.v as j, q.blk as b from (select id, x, case when y >= x then y + 1 else y end as y from (select id, floor({_u(SEED, 'id')} * n)::bigint as x, floor({_u(SEED + 1, 'id')} * (n - 1))::bigint as y from (select unnest(range(0, 300)) as id), (select count(*) as n from sizes)))
+ join (select blk, k, row_number() over (order by blk) - 1 as at from sizes) p on p.at = x join (select blk, k, row_number() over (order by blk) - 1 as at from sizes) q on q.at = y
+ join (select v, blk, row_number() over (partition by blk order by {_u(SEED + 2, 'v')}, v) - 1 as n from blk) i on i.blk = p.blk and i.n = floor({_u(SEED + 3, 'id')} * p.k)
+ join (select v, blk, row_number() over (partition by blk order by {_u(SEED + 2, 'v')}, v) - 1 as n from blk) j on j.blk = q.blk and j.n = floor({_u(SEED + 4, 'id')} * q.k)""")
+def uniform_swaps(spark, d):
+    return C.uniform_swaps(part_blocks(spark, d), 300, SEED)
+
+
+@query(f"select n as blocks, round(sqrt((n + n * (n + 1) / 2.0 * {SENSITIVITY**2}) / ({EPS**2} / (2 * ln(1.25 / {DELTA + 1 - ALPHA!r})))), 6) as sigma from (select count(*) as n from sizes)")
+def homogeneous_sigma(spark, d):
+    n = _stats(spark, d)[1].count()
+    return spark.createDataFrame([(n, round(N.homogeneous_sigma(n, EPS, DELTA, 1 - ALPHA, SENSITIVITY), 6))], "blocks long, sigma double")
+
+
+_HOM = f""", ks as (select z.blk, greatest(1.0, k + 5.0 * {_z(SEED, 'blk')}) as x from sizes z
+), kt as (select blk, case when blk in (select r from conn union select s from conn) then round_even(x, 0) else x end as k from ks
+), hx as (select r, s, trunc(m + 5.0 * {_z(SEED + 10, 'r', 's')})::bigint as m from conn) """
+
+
+@query(_HOM + "select blk, round(k, 5) as k from kt")
+def homogeneous_sizes(spark, d):
+    return N.homogeneous_draw(*_stats(spark, d), 5.0, SEED)[0].select("blk", F.round("k", 5).alias("k"))
+
+
+@query(_HOM + "select hx.r, hx.s, least(hx.m, trunc(case when hx.r = hx.s then a.k * (a.k - 1) / 2 else a.k * b.k end)::bigint) as m from hx join kt a on a.blk = hx.r join kt b on b.blk = hx.s where hx.m <> 0")
+def homogeneous_counts(spark, d):
+    return N.homogeneous_draw(*_stats(spark, d), 5.0, SEED)[1]
+
+
+@query()
+def balanced_blocks(spark, d):
+    e, n, _ = _parts(spark, d)
+    return P.balanced(cut(e), n, K)
+
+
+@query()
+def refined_blocks(spark, d):
+    e, n, _ = _parts(spark, d)
+    e = cut(e)
+    return P.refine(e, cut(P.balanced(e, n, K)), 3)
+
+
+@query()
+def rebalanced_blocks(spark, d):
+    e, _, b = _parts(spark, d)
+    return P.rebalance(b, cut(e), K)
+
+
+@query()
+def coordinate_blocks(spark, d):
+    e, n, _ = _parts(spark, d)
+    return P.from_coordinates(E.spectral_features(cut(e), n, 8), K)
+
+
+@query()
+def leading_eigenvalues(spark, d):
+    e, n, _ = _parts(spark, d)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(E.eigenvalues(cut(e), n, 10))], "place long, value double")
+
+
+@query()
+def eigen_centrality(spark, d):
+    e, n, _ = _parts(spark, d)
+    return E.centrality(cut(e), n)
+
+
+@query()
+def swap_fit(spark, d):
+    e, n, _ = _parts(spark, d)
+    return C.fit(e, B.uniform_blocks(n, K), 2).blocks
