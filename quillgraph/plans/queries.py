@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from ..functions.scalars import activation_threshold, gaussian_constant, u01
 from ..operators import blocks as B
 from ..operators import chain as C
+from ..operators import community as Q
 from ..operators import graph as G
 from ..operators import noise as N
 from ..operators import partition as P
 from ..operators import spectral as E
 from ..sources.graphs import co_purchase, keep_first, part_blocks, part_nodes
+from ..streaming.events import windowed_counts
 from .session import cut
 
 EPS, DELTA, ALPHA, SENSITIVITY, SEED, K = 1.0, 1e-6, 0.999, 6, 42, 75
@@ -602,3 +604,14 @@ def eigen_centrality(spark, d):
 def swap_fit(spark, d):
     e, n, _ = _parts(spark, d)
     return C.fit(e, B.uniform_blocks(n, K), 2).blocks
+
+
+@query()
+def communities(spark, d):
+    e, n, _ = _parts(spark, d)
+    return Q.local_moving(e, n, 6)[0]
+
+
+@query("select time_bucket(interval 1 hour, ts::timestamp) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def windowed_event_counts(spark, d):
+    return windowed_counts(spark.read.parquet(f"{d}/events.parquet")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
