@@ -133,6 +133,36 @@ def test_repeats_of_many_copies_and_odd_rows(spark):
     assert substring_dedup.repeated_passages(docs(spark, [])).count() == 0
 
 
+def test_every_passage_at_the_similarity_is_found(spark):
+    """Lengths and edit rates down to similarity 0.8, with changes at random, evenly spread and near the ends."""
+    rng = random.Random(11)
+    texts, planted = [], []
+    for n, edits in ((50, 1), (50, 2), (50, 5), (50, 10), (55, 3), (55, 11), (60, 3), (60, 6), (60, 12), (80, 12), (80, 16)):
+        for kind in ("random", "even", "ends", "mixed"):
+            p = words(rng, n)
+            at = {"random": rng.sample(range(1, n - 1), edits), "even": [(2 * i + 1) * n // (2 * edits) for i in range(edits)], "ends": [15 + i if i % 2 else n - 16 - i for i in range(edits)], "mixed": rng.sample(range(1, n - 1), edits)}[kind]
+            if kind == "mixed":  # half dropped, half changed
+                q = [w if i not in at else "changed%d" % rng.randrange(10**6) for i, w in enumerate(p) if i not in at[: edits // 2]]
+            else:
+                q = [w if i not in at else "changed%d" % rng.randrange(10**6) for i, w in enumerate(p)]
+            a, b = np.array([K.word_hash(w) for w in p]), np.array([K.word_hash(w) for w in q])
+            if len(q) < 50 or substring_dedup.common_words(a, b) < 0.8 * max(len(p), len(q)):
+                continue
+            start = rng.randint(0, 40)
+            texts += [" ".join(words(rng, 30) + p + words(rng, 30)), " ".join(words(rng, start) + q + words(rng, 30))]
+            planted.append((len(texts) - 1, start, len(q)))
+    assert len(planted) >= 40
+    rows = substring_dedup.repeated_passages(docs(spark, texts)).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert all(r["source_doc_id"] == r["doc_id"] - 1 and r["end_word"] - r["start_word"] >= 50 and r["similarity"] >= 0.8 for r in rows)
+    assert sorted(got) == [i for i, _, _ in planted]
+    for i, start, n in planted:
+        r = got[i]
+        assert min(r["end_word"], start + n) - max(r["start_word"], start) >= 45
+        x, y = ([K.word_hash(w) for w in texts[j].lower().split()[a:b]] for j, a, b in ((i, r["start_word"], r["end_word"]), (i - 1, r["source_start_word"], r["source_end_word"])))
+        assert r["n_matched"] <= substring_dedup.common_words(np.array(x), np.array(y))
+
+
 # 2 -------------------------------------------------------------------------------------------------------------------------
 
 
