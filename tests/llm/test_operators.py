@@ -163,6 +163,30 @@ def test_every_passage_at_the_similarity_is_found(spark):
         assert r["n_matched"] <= substring_dedup.common_words(np.array(x), np.array(y))
 
 
+def test_passages_of_common_sentences_find_their_source(spark):
+    """Sentences that stand alone in other documents, first and just before: only their order names the source."""
+    rng = random.Random(12)
+    for sizes in ((30, 30), (15, 15, 15, 15), (5,) * 12, (10,) * 5):
+        parts = [words(rng, n) for n in sizes]
+        alone = [" ".join(p + words(rng, 60)) for p in parts for _ in range(2)]
+        both = " ".join(w for p in parts for w in p)
+        # pairs of neighbours alone as well, so that no seed across a boundary names the source
+        pairs = [" ".join(p + q + words(rng, 60)) for p, q in zip(parts, parts[1:]) if len(parts) > 2]
+        texts = [*alone, *pairs, " ".join(words(rng, 20)) + " " + both + " " + " ".join(words(rng, 20)), *alone, *pairs, both + " " + " ".join(words(rng, 20))]
+        source = len(alone) + len(pairs)
+        rows = substring_dedup.repeated_passages(docs(spark, texts)).where(f"doc_id = {len(texts) - 1}").collect()
+        assert [(r["source_doc_id"], r["start_word"], r["source_start_word"], r["n_matched"] >= sum(sizes)) for r in rows if r["source_doc_id"] == source] == [(source, 0, 20, True)]
+
+
+def test_periodic_text_is_not_reported_over_and_over(spark):
+    rng = random.Random(13)
+    line = words(rng, 10)
+    texts = [" ".join(line * 40 + words(rng, 20)), " ".join(words(rng, 10) + line * 40)]
+    rows = substring_dedup.repeated_passages(docs(spark, texts)).collect()
+    held = {w for r in rows for w in range(r["start_word"], r["end_word"])}
+    assert set(range(10, 410)) <= held and len(rows) <= 10
+
+
 # 2 -------------------------------------------------------------------------------------------------------------------------
 
 
