@@ -3,29 +3,23 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when a count shows at most this many rows; beyond it the join shuffles.
+from ..plans.session import cut, shared_folder
+
+__all__ = ["connected_components", "cut", "fold", "release", "shared_folder", "shuffle_partitions", "small_or_shuffled", "table", "tree_sum"]
+
+#: A side is broadcast only when a measurement shows at most this many rows and bytes; beyond either the join shuffles.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 48_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-"))
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Collect garbage on both sides of the driver: Spark's cleaner deletes the shuffle files and checkpoints of finished rounds
     only once nothing refers to them any more, and a driver with memory to spare may not get there for many rounds."""
@@ -37,10 +31,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame with a broadcast hint if it has at most `rows` rows of a few numbers each, else with a
-    hint for a shuffled join. The count stops at the bound."""
-    if df.limit(rows + 1).count() <= rows:
+def small_or_shuffled(df: DataFrame, width: Column | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame with a broadcast hint if it has at most `rows` rows and BROADCAST_BYTES bytes (`width` a row; without it, rows
+    of a few numbers), else with a hint for a shuffled join. The count stops at the bound."""
+    size = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width if width is not None else F.lit(0)).alias("b")).first()
+    if size["n"] <= rows and (size["b"] or 0) <= BROADCAST_BYTES:
         return F.broadcast(df)
     return df.hint("merge")
 
@@ -108,5 +103,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     low = e.groupBy("v").agg(F.min("u").alias("m"))
     return low.select(F.col("v").alias("node"), F.col("m").alias("component")).union(e.select("u", F.col("u")).distinct())
 
-
-MapArrow = Callable
