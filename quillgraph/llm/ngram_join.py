@@ -7,10 +7,11 @@ between small and large is the size at which the estimated cost of both sides is
 boundary appear on both sides, so that no pair across it is lost.
 
 The global order puts members with few occurrences first. It comes from a counting sketch over every
-shingle of the corpus: a fixed number of cells, so what is broadcast never grows. Any order gives the same
-links; this one keeps the lists short.
+shingle of the corpus, one byte a cell (a logarithm) and as many cells as shingles between 2**20 and 2**24, so what is broadcast is
+bounded by 16 MB. Any order gives the same links; this one keeps the lists short.
 
-Inside a list, candidates must be close in size, have enough members left after their place in the list's order, and be close in a parity bitmap (each
+What is joined are classes of rows with the same set. Lists longer than LIST_ROWS are cut into blocks by hash, and each pair of blocks
+becomes a list of its own, so no task holds more than about two blocks. Inside a list, candidates must be close in size, have enough members left after their place in the list's order, and be close in a parity bitmap (each
 differing bit proves a differing member), compared in NumPy without emitting rows. Of the survivors only a spanning forest leaves the task,
 so a list of m near copies gives at most m - 1 rows. Forest edges are then verified on the whole sets. If
 one fails, rows that are still in a surviving pair across components get bitmaps eight times as fine for another forest;
@@ -19,7 +20,7 @@ the few pairs that survive these and still lie across components are all emitted
 Defined cases: null texts and texts without words have an empty set and link with nothing; with fewer than k
 words, the whole sequence is the one shingle; identical sets link (even when their texts differ); a null doc_id
 keeps its row, links with nothing and has a null component; rows that repeat a doc_id count as one document
-when linking, and each keeps its row.
+when linking, whatever links one of their texts has, and each keeps its row with the set size of its own text.
 """
 
 from __future__ import annotations
@@ -33,9 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .spark_util import connected_components, cut, release, shuffle_partitions, small_or_shuffled
+from .spark_util import connected_components, cut, join_hot, release, shuffle_partitions, small_or_shuffled
 
-SKETCH_BITS = 20
+#: Fewest and most cells of the sketch, as powers of two.
+SKETCH_BITS = (20, 24)
+#: Rows of one list that a task compares at once; longer lists are cut into blocks.
+LIST_ROWS = 20_000
 #: Subsets one small set may enumerate at most, which bounds the rows of a text.
 MAX_SUBSETS = 500
 
@@ -63,21 +67,32 @@ def _distinct(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h, np.searchsorted(o, np.arange(len(at)))
 
 
+def _sums(h: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Two 64-bit hashes of each set."""
+    m = T.mix(h)
+    with np.errstate(over="ignore"):
+        runs = (np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (m, T.mix(m)))
+        s1, s2 = (r[at[1:]] - r[at[:-1]] for r in runs)
+    return pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))
+
+
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, items): the sorted set of each text."""
+    """(doc_id, s1, s2, items): the sorted set of each text and its hashes."""
 
     def run(batches):
         for batch in batches:
             for b in T.slices(batch, "text"):
                 h, at = _distinct(*_sets(b, k))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), T.list_column(h.view(np.int64), at, pa.int64())], ["doc_id", "items"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *_sums(h, at), T.list_column(h.view(np.int64), at, pa.int64())], ["doc_id", "s1", "s2", "items"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, items array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, s1 long, s2 long, items array<long>")
 
 
 def count_sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences of all shingles by hash cell, and how many texts have each set size up to 63 (then in 63)."""
-    bits = SKETCH_BITS
+    """Eight times the binary logarithm of the occurrences of all shingles by hash cell (0 for none), and how many texts have each set
+    size up to 63 (then in 63)."""
+    low, high = SKETCH_BITS
+    bits = min(high, max(low, int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0).bit_length() - 3))
     pieces = 16
 
     def run(batches):
@@ -85,27 +100,29 @@ def count_sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             for b in T.slices(batch, "text"):
                 h, at = _sets(b, k)
-                total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                np.add.at(total, (h >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
                 sizes += np.bincount(np.minimum(np.diff(at), 63), minlength=64)
         parts = [x.tobytes() for x in np.split(total, pieces)] + [sizes.tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array(range(pieces + 1), pa.int32()), pa.array(parts, pa.binary())], ["piece", "counts"])
+        for i, x in enumerate(parts):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x], pa.binary())], ["piece", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for p, c in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.frombuffer(c.as_py(), np.uint32 if p < pieces else np.int64).astype(np.int64)
-                sums[p] = sums[p] + x if p in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["piece", "counts"])
+                x = np.frombuffer(c.as_py(), np.uint32 if p < pieces else np.int64)
+                sums[p] = sums[p] + x if p in sums else x.astype(np.int64)
+        for p, x in sums.items():
+            out = np.where(x > 0, np.minimum(1 + np.round(8 * np.log2(np.maximum(x, 1))), 255), 0).astype(np.uint8) if p < pieces else x
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["piece", "counts"])
 
     rows = docs.select("text").mapInArrow(run, "piece int, counts binary").repartition(pieces, "piece").mapInArrow(add, "piece int, counts binary").collect()
-    total, sizes = np.zeros((pieces, (1 << bits) // pieces), np.int64), np.zeros(64, np.int64)
+    total, sizes = np.zeros((pieces, (1 << bits) // pieces), np.uint8), np.zeros(64, np.int64)
     for r in rows:
-        x = np.frombuffer(bytes(r["counts"]), np.int64)
         if r["piece"] < pieces:
-            total[r["piece"]] += x
+            total[r["piece"]] = np.frombuffer(bytes(r["counts"]), np.uint8)
         else:
-            sizes += x
+            sizes += np.frombuffer(bytes(r["counts"]), np.int64)
     return total.ravel(), sizes
 
 
@@ -128,8 +145,8 @@ def size_boundary(sizes: np.ndarray, list_length: float, percent: int) -> int:
 
 def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, boundary: int) -> DataFrame:
     """For each text: set size n, two set hashes, its first members in the global order, its subset keys and its parity bitmap."""
-    cells = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
-    bits = SKETCH_BITS
+    cells = docs.sparkSession.sparkContext.broadcast(sketch)
+    bits = len(sketch).bit_length() - 1
 
     def subsets_of(h: np.ndarray) -> np.ndarray:
         n = len(h)
@@ -152,12 +169,7 @@ def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, bounda
             for b in T.slices(batch, "text"):
                 h, at = _distinct(*_sets(b, k))
                 load = cells.value[(h >> np.uint64(64 - bits)).astype(np.int64)]
-                m = T.mix(h)
                 sizes = np.diff(at)
-                with np.errstate(over="ignore"):
-                    run1 = np.concatenate([[np.uint64(0)], np.cumsum(m, dtype=np.uint64)])
-                    run2 = np.concatenate([[np.uint64(0)], np.cumsum(T.mix(m), dtype=np.uint64)])
-                    s1, s2 = run1[at[1:]] - run1[at[:-1]], run2[at[1:]] - run2[at[:-1]]
                 firsts, subs, maps = [], [], []
                 for i in range(len(sizes)):
                     own = h[at[i] : at[i + 1]]
@@ -166,7 +178,7 @@ def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, bounda
                     maps.append(bitmap(own) if len(own) else b"")
                 lists = [T.list_column(np.concatenate(x).view(np.int64), np.concatenate([[0], np.cumsum([len(y) for y in x])]), pa.int64()) for x in (firsts, subs)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), *lists, pa.array(maps, pa.binary())],
+                    [b.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), *_sums(h, at), *lists, pa.array(maps, pa.binary())],
                     ["doc_id", "n", "s1", "s2", "firsts", "subsets", "bits"],
                 )
 
@@ -237,6 +249,11 @@ def list_pairs(key: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: list[bytes
         other = live + step
         same = (key[live] == key[other]) & (100 * n[live] >= percent * n[other])
         live, other = live[same], other[same]
+        if forest and step & (step - 1) == 0 and len(live):  # lists that are one tree already are done
+            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            whole = np.minimum.reduceat(root, heads) == np.maximum.reduceat(root, heads)
+            pick = ~whole[np.searchsorted(heads, live, side="right") - 1]
+            live, other = live[pick], other[pick]
         fit = near(n, pos, live, other, percent)
         i, j = live[fit], other[fit]
         if forest and len(i):
@@ -268,18 +285,19 @@ def _by_list(work):
     """Feed whole lists to `work`; rows come sorted by key."""
 
     def run(batches):
-        rest = None
+        held = []
         for batch in batches:
-            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
-            if t.num_rows == 0:
+            if not batch.num_rows:
                 continue
-            key = t.column("key").to_numpy()
+            key = batch.column("key").to_numpy()
             stop = int(np.searchsorted(key, key[-1]))
-            rest = t.slice(stop)
-            if stop:
-                yield from work(t.slice(0, stop))
-        if rest is not None and rest.num_rows:
-            yield from work(rest)
+            if stop or held and held[-1].column("key")[-1].as_py() != key[0]:
+                yield from work(pa.Table.from_batches([*held, batch.slice(0, stop)]).combine_chunks())
+                held = [batch.slice(stop)]
+            else:
+                held.append(batch)
+        if held:
+            yield from work(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
@@ -289,25 +307,39 @@ def _sorted_by_key(df: DataFrame) -> DataFrame:
     return df.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "n", "doc")
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """`rows` with each list of more than LIST_ROWS rows as lists of the pairs of its blocks; two rows of a list still meet."""
+    long = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LIST_ROWS).select("key", F.ceil(F.col("_n") / LIST_ROWS).cast("int").alias("_blocks"))
+    long = cut(long)
+    if long.isEmpty():
+        return rows
+    dealt = rows.join(small_or_shuffled(long), "key", "left").withColumn("_b", F.pmod(F.xxhash64("doc"), F.coalesce("_blocks", F.lit(1))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1))
+    name = F.when(F.col("_blocks").isNotNull(), F.xxhash64("key", F.least("_b", "_o"), F.greatest("_b", "_o"))).otherwise(F.col("key"))
+    return dealt.withColumn("_o", other).withColumn("key", name).select(*rows.columns)
+
+
 def partnered(rows: DataFrame, percent: int) -> DataFrame:
-    """The (key, doc, n, pos) rows that have another row of their key with which near() holds."""
+    """The (key, doc, n, pos) rows that have another row of their key with which near() holds. Only (n, pos) decides, so the distinct ones of
+    a list are counted and compared, not its rows."""
 
     def work(t):
-        key, n, pos = (t.column(c).to_numpy() for c in ("key", "n", "pos"))
-        keep, live, step = np.zeros(len(key), bool), np.arange(len(key)), 1
+        key, n, pos, count = (t.column(c).to_numpy() for c in ("key", "n", "pos", "rows"))
+        own = np.arange(len(key))
+        keep, live, step = (count > 1) & near(n, pos, own, own, percent), own, 1
         while len(live):
             live = live[live + step < len(key)]
             live = live[(key[live] == key[live + step]) & (100 * n[live] >= percent * n[live + step])]
             i, j = live, live + step
-            wanted = ~(keep[i] & keep[j])
-            i, j = i[wanted], j[wanted]
             fit = near(n, pos, i, j, percent)
             keep[i[fit]] = keep[j[fit]] = True
             step += 1
         if keep.any():
-            yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+            yield from t.select(["key", "n", "pos"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
-    return _sorted_by_key(rows).mapInArrow(_by_list(work), "key long, doc long, n long, pos int")
+    kinds = rows.groupBy("key", "n", "pos").agg(F.count(F.lit(1)).alias("rows"))
+    kinds = kinds.repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key", "n", "pos")
+    return rows.join(kinds.mapInArrow(_by_list(work), "key long, n long, pos int"), ["key", "n", "pos"], "left_semi").select("key", "doc", "n", "pos")
 
 
 def _pairs_of(t, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -324,7 +356,7 @@ def candidate_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j]))], ["a", "b"])
 
-    return _sorted_by_key(rows.select("key", "doc", "n", "pos", "bits", "label")).mapInArrow(_by_list(work), "a long, b long").where("a <> b").distinct()
+    return _sorted_by_key(in_blocks(rows.select("key", "doc", "n", "pos", "bits", "label"))).mapInArrow(_by_list(work), "a long, b long").where("a <> b").distinct()
 
 
 def near_misses(rows: DataFrame, percent: int) -> DataFrame:
@@ -335,27 +367,33 @@ def near_misses(rows: DataFrame, percent: int) -> DataFrame:
         if len(i):
             yield from t.select(["key", "doc", "n", "pos"]).take(pa.array(np.unique(np.concatenate([i, j])))).combine_chunks().to_batches()
 
-    return _sorted_by_key(rows.select("key", "doc", "n", "pos", "bits", "label")).mapInArrow(_by_list(work), "key long, doc long, n long, pos int")
+    return _sorted_by_key(in_blocks(rows.select("key", "doc", "n", "pos", "bits", "label"))).mapInArrow(_by_list(work), "key long, doc long, n long, pos int")
 
 
-def fine_bitmaps(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc, bits) with eight bits a member, for the documents in ids (doc_id)."""
+def class_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(doc, items) of the classes in ids (doc), from a row of `docs` that is in each."""
+    wanted = classes.join(small_or_shuffled(ids), "doc", "left_semi").select("doc", F.col("rep").alias("doc_id"), "s1", "s2")
+    sets = shingle_sets(docs.join(small_or_shuffled(wanted.select("doc_id").distinct()), "doc_id", "left_semi"), k)
+    return sets.join(small_or_shuffled(wanted), ["doc_id", "s1", "s2"]).select("doc", "items").dropDuplicates(["doc"])
+
+
+def fine_bitmaps(docs: DataFrame, ids: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(doc, bits) with eight bits a member, for the classes in ids (doc)."""
 
     def run(batches):
         for b in batches:
             maps = [bitmap(np.array(x.as_py(), np.int64).view(np.uint64), 8) for x in b.column("items")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(maps, pa.binary())], ["doc", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(maps, pa.binary())], ["doc", "bits"])
 
-    sets = shingle_sets(docs.join(small_or_shuffled(ids), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"])
-    return sets.mapInArrow(run, "doc long, bits binary")
+    return class_sets(docs, ids, classes, k).mapInArrow(run, "doc long, bits binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with `linked`: whether 100 x intersection >= percent x union, on the whole sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = shingle_sets(docs.join(small_or_shuffled(ids), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"])
-    one = pairs.hint("merge").join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
-    both = one.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")).hint("merge"), "b")
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes with `linked`: whether 100 x intersection >= percent x union, on the whole sets."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    sets = class_sets(docs, ids, classes, k)
+    one = pairs.hint("merge").join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a")
+    both = one.join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")).hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", (100 * common >= percent * (F.size("x") + F.size("y") - common)).alias("linked"))
 
@@ -375,37 +413,53 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     docs = docs.select("doc_id", "text")
     sketch, sizes = count_sketch(docs, k)
     used = sketch[sketch > 0]
-    boundary = size_boundary(sizes, float(np.quantile(used, 0.1)) if len(used) else 0.0, percent)
+    boundary = size_boundary(sizes, float(2 ** ((np.quantile(used, 0.1) - 1) / 8)) if len(used) else 0.0, percent)
     sig = cut(signatures(docs, k, percent, sketch, boundary))
     full = sig.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    copies = full.join(classes, ["s1", "s2", "n"]).where("doc_id <> rep").select("doc_id", "rep")
-    reps = full.join(small_or_shuffled(copies.select("doc_id").distinct()), "doc_id", "left_anti")
-    keys = reps.select("doc_id", "n", F.size("firsts").alias("placed"), F.posexplode(F.concat("firsts", "subsets")).alias("at", "key"))
-    rows = cut(partnered(keys.select("key", F.col("doc_id").alias("doc"), "n", F.when(F.col("at") < F.col("placed"), F.col("at")).otherwise(0).alias("pos")), percent))
+    same = ["s1", "s2", "n"]
+    one = full.groupBy(*same).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("firsts", "subsets", "bits")))
+    made = cut(one.withColumn("doc", F.monotonically_increasing_id()))
+    classes = made.select("doc", "rep", *same)
+    release(docs.sparkSession)
+    # classes that hold texts of one doc_id
+    several = full.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("x"), F.max(F.struct(*same)).alias("y")).where("x <> y").select("doc_id")
+    texts = full.join(small_or_shuffled(several), "doc_id", "left_semi").select("doc_id", *same).distinct().join(classes.drop("rep"), same)
+    shared = cut(texts.join(texts.groupBy("doc_id").agg(F.min("doc").alias("a")), "doc_id").select("a", F.col("doc").alias("b")))
+    keys = made.select("doc", "n", F.size("firsts").alias("placed"), F.posexplode(F.concat("firsts", "subsets")).alias("at", "key"))
+    rows = cut(partnered(keys.select("key", "doc", "n", F.when(F.col("at") < F.col("placed"), F.col("at")).otherwise(0).alias("pos")), percent))
     release(docs.sparkSession)
-    maps = reps.select(F.col("doc_id").alias("doc"), "bits")
-    tried = cut(verified(candidate_pairs(rows.join(maps, "doc").withColumn("label", F.col("doc")), percent, True), docs, k, percent))
+    maps = made.select("doc", "bits")
+    tried = cut(verified(candidate_pairs(rows.join(maps, "doc").withColumn("label", F.col("doc")), percent, True), docs, classes, k, percent))
     parts = cut(connected_components(tried.where("linked").select("a", "b")))
     links = _stars(parts)
     release(docs.sparkSession)
     if not tried.where("not linked").isEmpty():
         missed = cut(near_misses(_labelled(rows, parts).join(maps, "doc"), percent))
-        fine = cut(fine_bitmaps(docs, missed.select(F.col("doc").alias("doc_id")).distinct(), k))
+        fine = cut(fine_bitmaps(docs, missed.select("doc").distinct(), classes, k))
         again = _labelled(missed, parts).join(fine, "doc")
-        more = cut(verified(cut(candidate_pairs(again, percent, True).join(tried.select("a", "b"), ["a", "b"], "left_anti")), docs, k, percent))
+        more = cut(verified(cut(candidate_pairs(again, percent, True).join(tried.select("a", "b"), ["a", "b"], "left_anti")), docs, classes, k, percent))
         release(docs.sparkSession)
         parts = cut(connected_components(links.union(more.where("linked").select("a", "b"))))
         seen = tried.select("a", "b").union(more.select("a", "b"))
         rest = cut(candidate_pairs(_labelled(missed, parts).join(fine, "doc"), percent, False).join(seen, ["a", "b"], "left_anti"))
-        links = _stars(parts).union(cut(verified(rest, docs, k, percent)).where("linked").select("a", "b"))
+        links = _stars(parts).union(cut(verified(rest, docs, classes, k, percent)).where("linked").select("a", "b"))
         release(docs.sparkSession)
-    parts = connected_components(links.union(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    return sig.select("doc_id", F.col("n").alias("n_shingles")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    parts = cut(connected_components(links.union(shared)))
+    named = cut(classes.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc")))
+    lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    of_class = join_hot(named.select("label", *same), lowest, ["label"]).select(*same, "component_id")
+    out = join_hot(sig.select("doc_id", *same), of_class, same, "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` without near duplicates: of each component the document with the smallest id stays, once."""
+    """`docs` without near duplicates: of each component the document with the smallest id stays. Of rows that repeat its doc_id and its
+    text one stays; other texts of that doc_id stay."""
     groups = ngram_components(docs, k, percent)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = cut(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(small_or_shuffled(gone), "doc_id", "left_anti").select(*docs.columns)
+    again = cut(kept.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id").distinct())
+    if again.isEmpty():
+        return kept
+    again = small_or_shuffled(again)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.session import cut, shared_folder
 
-__all__ = ["connected_components", "cut", "fold", "release", "shared_folder", "shuffle_partitions", "small_or_shuffled", "table", "tree_sum"]
+__all__ = ["connected_components", "cut", "fold", "join_hot", "release", "shared_folder", "shuffle_partitions", "small_or_shuffled", "table", "tree_sum"]
 
 #: A side is broadcast only when a measurement shows at most this many rows and bytes; beyond either the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -40,6 +40,21 @@ def small_or_shuffled(df: DataFrame, width: Column | None = None, rows: int = BR
     return df.hint("merge")
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
+    """`rows` joined to `keyed`, which has one row a key. Keys with more than a small share of `rows` (a quarter of a partition, 1,000
+    at least; so there are at most four a partition, which bounds the broadcast) are dealt over several tasks by a hash
+    of the other columns, and their row of `keyed` is copied to each."""
+    spark = rows.sparkSession
+    limit = max(1000, (rows.count() if total is None else total) // (4 * shuffle_partitions(spark)))
+    hot = cut(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_copies")))
+    if hot.isEmpty():
+        return rows.join(keyed, on, how)
+    copies = F.coalesce("_copies", F.lit(1))
+    left = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*(c for c in rows.columns if c not in on)), copies).cast("int")).drop("_copies")
+    right = keyed.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def fold(doc_id: str, mod: int) -> Column:
     """crc32 of the id as text, modulo `mod`; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(mod)).cast("int")
@@ -72,8 +87,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over `edges` (a, b), for every node in an edge.
 
     Alternates large-star and small-star steps. Each groups by a node with a minimum that combines on the map
-    side and joins it back, so no neighbour list is ever gathered. Lineage is cut each round. Nulls are
-    not nodes; loops and repeated edges are harmless.
+    side and joins it back, so no neighbour list is ever gathered, and nodes with very many edges are dealt over several tasks.
+    Lineage is cut each round. Nulls are not nodes; loops and repeated edges are harmless.
     """
     e = edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u is not null and v is not null and u <> v").distinct()
 
@@ -88,9 +103,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("m").alias("u"), "v").distinct()
+        large = join_hot(both, low, ["u"], total=2 * seen[0]).where("v > u and v <> m").select(F.col("m").alias("u"), "v").distinct()
         down = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(down, "v").select(F.col("m").alias("x"), F.explode(F.array("u", "v")).alias("y"))
+        small = join_hot(large, down, ["v"], total=2 * seen[0]).select(F.col("m").alias("x"), F.explode(F.array("u", "v")).alias("y"))
         e = cut(small.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
         del both, low, large, down, small
         release(e.sparkSession)
