@@ -15,14 +15,18 @@ nothing; repeated items and rows each count, an item id once per text; empty tab
 
 from __future__ import annotations
 
+import itertools
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
+from .spark_util import cut, small_or_shuffled
 
-#: Phrases searched at once; a larger benchmark is searched in several passes whose hits are united.
+#: Phrases searched at once; a larger benchmark is searched in several passes, one after the other, whose hits are united.
 PASS_PHRASES = 500_000
 SHARD_SYMBOLS = 400_000
 SAMPLE = 8
@@ -179,43 +183,44 @@ def shard_hits(sym: np.ndarray, words: np.ndarray, phrases: Phrases) -> tuple[np
     return hit, items
 
 
-def benchmark_passes(benchmark: DataFrame, window: int) -> list:
-    """Broadcast phrase sets of at most about PASS_PHRASES phrases each."""
-    sc = benchmark.sparkSession.sparkContext
-    passes, own, size = [], [], 0
+def phrase_sets(benchmark: DataFrame, window: int):
+    """Phrase sets of about PASS_PHRASES phrases each, one at a time; an empty one for an empty benchmark."""
+    own, size, any_ = [], 0, False
     for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         words = item_words(r["text"])
         own.append((r["item_id"], words))
         size += max(1, len(words) - window + 1)
         if size >= PASS_PHRASES:
-            passes.append(sc.broadcast(Phrases(own, window)))
+            any_ = True
+            yield Phrases(own, window)
             own, size = [], 0
-    if own or not passes:
-        passes.append(sc.broadcast(Phrases(own, window)))
-    return passes
+    if own or not any_:
+        yield Phrases(own, window)
 
 
-def scan(texts: pa.RecordBatch, passes: list) -> tuple[np.ndarray, np.ndarray, list, list, list]:
-    """n_words, n_hit, items, spans and cleaned texts of a batch."""
+def hits(texts: pa.RecordBatch, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+    """Which words are hit, the n + 1 offsets of each text's words, and each text's items."""
     raw, at = T.text_buffer(texts.column("text"))
-    rows = texts.num_rows
     starts, ends, words = T.word_spans(data := T.LOWER[raw], at, T.ALNUM)
-    h = T.span_hashes(data, starts, ends)
-    hit, items = np.zeros(len(h), bool), [set() for _ in range(rows)]
-    for p in passes:
-        sym, first = p.value.symbols(h), 0
-        while first < rows:
-            last = max(first + 1, int(np.searchsorted(words, words[first] + SHARD_SYMBOLS, side="right")) - 1)
-            part = slice(words[first], words[last])
-            more, found = shard_hits(sym[part], words[first : last + 1] - words[first], p.value)
-            hit[part] |= more
-            for i, x in enumerate(found):
-                items[first + i] |= x
-            first = last
+    sym, rows, first = phrases.symbols(T.span_hashes(data, starts, ends)), texts.num_rows, 0
+    hit, items = np.zeros(len(sym), bool), [set() for _ in range(rows)]
+    while first < rows:
+        last = max(first + 1, int(np.searchsorted(words, words[first] + SHARD_SYMBOLS, side="right")) - 1)
+        part = slice(words[first], words[last])
+        hit[part], found = shard_hits(sym[part], words[first : last + 1] - words[first], phrases)
+        items[first:last] = found
+        first = last
+    return hit, words, items
+
+
+def described(texts: pa.RecordBatch, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, list]:
+    """n_words, n_hit, spans and cleaned texts of a batch."""
+    raw, at = T.text_buffer(texts.column("text"))
+    starts, ends, words = T.word_spans(T.LOWER[raw], at, T.ALNUM)
     total = np.concatenate([[0], np.cumsum(hit)])
     n_hit = total[words[1:]] - total[words[:-1]]
     spans, cleaned = [], []
-    for i in range(rows):
+    for i in range(texts.num_rows):
         if not n_hit[i]:
             spans.append([])
             cleaned.append(None)
@@ -227,40 +232,98 @@ def scan(texts: pa.RecordBatch, passes: list) -> tuple[np.ndarray, np.ndarray, l
         body = raw[at[i] : at[i + 1]].tobytes()
         spans.append([{"start": x, "end": y} for x, y in ranges])
         cleaned.append(T.without(body, ranges))
-    return np.diff(words), n_hit, [sorted(x) for x in items], spans, cleaned
+    return np.diff(words), n_hit, spans, cleaned
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, object]:
+    """`docs` and a function that gives a slice's hit words and items. A benchmark of one phrase set is broadcast; of a larger one each
+    set is broadcast alone, its hits are written and it is released before the next, so no worker ever holds more than one, and
+    each row gets what was found as columns under names that no column of docs has."""
+    sc = docs.sparkSession.sparkContext
+    sets = phrase_sets(benchmark, window)
+    first, second = next(sets), next(sets, None)
+    if second is None:
+        shared = sc.broadcast(first)
+
+        def direct(b):
+            hit, _, items = hits(b, shared.value)
+            return hit, [sorted(x) for x in items]
+
+        return docs, direct
+    mark = uuid.uuid4().hex
+    key, other, ranges, found = (f"{c}_{mark}" for c in ("key", "other", "ranges", "items"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text")).withColumn(other, F.hash("text", "doc_id"))
+    parts = None
+    for phrases in itertools.chain([first, second], sets):
+        shared = sc.broadcast(phrases)
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                for b in T.slices(batch, "text"):
+                    hit, words, items = hits(b, shared.value)
+                    rows = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(hit)])[words]))
+                    own = []
+                    for i in rows.tolist():
+                        at = np.flatnonzero(hit[words[i] : words[i + 1]])
+                        cut_ = np.flatnonzero(np.diff(at) > 1)
+                        own.append([{"a": int(x), "b": int(y) + 1} for x, y in zip(at[np.concatenate([[0], cut_ + 1])], at[np.concatenate([cut_, [len(at) - 1]])])])
+                    pick = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([b.column(key).take(pick), b.column(other).take(pick), pa.array(own, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([sorted(items[i]) for i in rows.tolist()], pa.list_(pa.string()))], [key, other, ranges, found])
+
+        more = cut(keyed.select(key, other, "text").mapInArrow(run, f"`{key}` long, `{other}` int, `{ranges}` array<struct<a:long,b:long>>, `{found}` array<string>").dropDuplicates([key, other]))
+        shared.destroy()
+        parts = more if parts is None else parts.union(more)
+    all_ = cut(parts.groupBy(key, other).agg(F.flatten(F.collect_list(ranges)).alias(ranges), F.array_sort(F.array_distinct(F.flatten(F.collect_list(found)))).alias(found)))
+    joined = keyed.join(small_or_shuffled(all_, F.size(ranges) * 16 + F.size(found) * 32), [key, other], "left").select(*docs.columns, ranges, found)
+
+    def joined_hits(b):
+        raw, at = T.text_buffer(b.column("text"))
+        starts, _, words = T.word_spans(T.LOWER[raw], at, T.ALNUM)
+        change = np.zeros(len(starts) + 1, np.int64)
+        for i, own in enumerate(b.column(ranges).to_pylist()):
+            for r in own or ():
+                change[words[i] + r["a"]] += 1
+                change[words[i] + r["b"]] -= 1
+        return np.cumsum(change[:-1]) > 0, [x or [] for x in b.column(found).to_pylist()]
+
+    return joined, joined_hits
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """(doc_id, n_words, n_hit, items, spans, cleaned): the ids as sorted strings; spans are byte ranges
     [start, end) of the UTF-8 text, merged; `cleaned` is the text without them (null where nothing is removed)."""
-    passes = benchmark_passes(benchmark, window)
+    rows, look = _found(docs.select("doc_id", "text"), benchmark, window)
 
     def run(batches):
         for batch in batches:
             for b in T.slices(batch, "text"):
-                n, n_hit, items, spans, cleaned = scan(b, passes)
+                hit, items = look(b)
+                n, n_hit, spans, cleaned = described(b, hit)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(cleaned, pa.string())],
                     ["doc_id", "n_words", "n_hit", "items", "spans", "cleaned"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, cleaned string")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, cleaned string")
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """`docs` with the removal spans cut out of their texts; documents that keep no word of a hit text go."""
-    passes = benchmark_passes(benchmark, window)
+    rows, look = _found(docs, benchmark, window)
     place = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             for b in T.slices(batch, "text"):
-                n, n_hit, _, _, cleaned = scan(b, passes)
-                if n_hit.any():
+                hit, _ = look(b)
+                b = b.select(docs_columns)
+                if hit.any():
+                    n, n_hit, _, cleaned = described(b, hit)
                     texts = b.column("text").to_pylist()
                     b = b.set_column(place, "text", pa.array([t if c is None else c for t, c in zip(texts, cleaned)], b.column("text").type))
                     b = b.filter(pa.array((n_hit == 0) | (n_hit < n)))
                 yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    docs_columns = docs.columns
+    return rows.mapInArrow(run, docs.schema)

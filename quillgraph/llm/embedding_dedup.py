@@ -4,10 +4,13 @@ Vectors are cut in halves; each half has a codebook of its own, learnt by k-mean
 A vector lies in the cell of its two nearest codewords, one of books x books cells. (about
 16 vectors a cell unless `books` is given). A query visits cells in order of the sum of
 its distances to their codewords (multi-sequence traversal). How many cells it visits follows from the data: sampled queries are compared with all
-vectors, and the number is chosen so that their links are found with at least `recall`. In a visited cell the cosine is computed in double precision from the whole vectors; pairs below the threshold
+vectors, and the number is chosen so that their links are found with at least `recall`, from either end by itself. Where these queries have fewer than
+LEAST_LINKS links, pairs made at the threshold, the hardest there are, decide as well; where the cells looked at do not reach the recall, more are, up
+to all of them. In a visited cell the cosine is computed in double precision from the whole vectors; pairs below the threshold
 are never linked. Equal vectors are indexed once, with their count.
 
-Every vector is indexed and queried. Crowded cells are split into blocks of bounded size. Defined cases: vectors that are null, empty, zero or
+Every vector is indexed and queried. Links are counted where they are found, and only a spanning forest of each visited cell leaves it, never
+its pairs. Crowded cells are split into blocks of bounded size. Defined cases: vectors that are null, empty, zero or
 hold null or non-finite components link with nothing and are their own component; vectors of another length than most lie in one (split) cell
 per length and link only among themselves; a null vec_id keeps its row, unlinked, with a null component; rows that repeat a
 vec_id count as separate vectors where they differ and all count as copies where they are equal.
@@ -22,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_util import connected_components, cut, shuffle_partitions, tree_sum
+from .spark_util import connected_components, cut, join_hot, shuffle_partitions, tree_sum
 
 BLOCK = 4096
 QUERY_SAMPLE = 400
+LEAST_LINKS = 100
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 3) -> np.ndarray:
@@ -109,8 +113,38 @@ def _usable(vectors: DataFrame) -> DataFrame:
 
 
 def _choose_visits(reps: DataFrame, index: MultiIndex, queries: np.ndarray, ids: np.ndarray, threshold: float, recall: float) -> int:
-    """Cells to visit so that a sampled query or its partner finds the other in `recall` of their links."""
-    most = min(len(index.first) * index.width, 1024)
+    """Cells to visit so that each end of a sampled query's links finds the other in `recall` of them."""
+    cells = len(index.first) * index.width
+    most = min(cells, 256)
+    while True:
+        t = _link_ranks(reps, index, queries, ids, threshold, most)
+        ranks = [t] if t is not None and t.sum() else []
+        if not ranks or ranks[0].sum() < 2 * LEAST_LINKS:
+            ranks.append(_made_ranks(index, queries, threshold, most))
+        visits = [int(np.searchsorted(np.cumsum(r), recall * r.sum())) + 1 for r in ranks]
+        if max(visits) <= most:
+            return max(4, *visits)
+        if most == cells:  # every cell is visited: nothing is missed
+            return cells
+        most = min(cells, 4 * most)
+
+
+def _made_ranks(index: MultiIndex, queries: np.ndarray, threshold: float, most: int) -> np.ndarray:
+    """How many made pairs at exactly the threshold have the partner's cell at each place of the traversal; the last counts those beyond."""
+    rng = np.random.default_rng(11)
+    q = _unit(queries)
+    away = rng.normal(size=q.shape)
+    away -= (away * q).sum(1)[:, None] * q
+    other = threshold * q + np.sqrt(1 - threshold**2) * away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+    total = np.zeros(most + 1)
+    for near, cell in ((index.probes(q, most), index.cells(other)), (index.probes(other, most), index.cells(q))):
+        for p, c in zip(near, cell.tolist()):
+            total[p.index(c) if c in p else most] += 1
+    return total
+
+
+def _link_ranks(reps: DataFrame, index: MultiIndex, queries: np.ndarray, ids: np.ndarray, threshold: float, most: int) -> np.ndarray | None:
+    """The same for the links of sampled queries with all vectors, from both ends."""
     shared = reps.sparkSession.sparkContext.broadcast((index, _unit(queries), ids, index.probes(queries, most), index.cells(queries)))
 
     def run(batches):
@@ -127,31 +161,30 @@ def _choose_visits(reps: DataFrame, index: MultiIndex, queries: np.ndarray, ids:
                     cells = idx.cells(x)
                     back = {r: {c: n for n, c in enumerate(idx.probes(x[r : r + 1], most)[0])} for r in {r for r, _ in close}}
                     for r, k in close:
-                        total[min(place[k].get(int(cells[r]), most), back[r].get(int(own[k]), most))] += 1
+                        total[place[k].get(int(cells[r]), most)] += 1
+                        total[back[r].get(int(own[k]), most)] += 1
         yield pa.RecordBatch.from_pydict({"part": pa.array([total.astype(np.float64).tobytes()], pa.binary())})
 
-    t = tree_sum(reps.mapInArrow(run, "part binary"), "part")
-    if t is None or t.sum() == 0:
-        return 8
-    return max(4, int(np.searchsorted(np.cumsum(t), recall * t.sum())) + 1)
+    return tree_sum(reps.mapInArrow(run, "part binary"), "part")
 
 
-def find_links(vectors: DataFrame, threshold: float = 0.95, books: int | None = None, sample_rows: int = 20_000, recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (vec_id, rep, copies) of classes of equal vectors, and links (a, b) between
-    representatives with cosine >= threshold."""
+def find_links(vectors: DataFrame, threshold: float = 0.95, books: int | None = None, sample_rows: int = 20_000, recall: float = 0.99) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, counts, links): members (vec_id, rep, key, copies) of classes of equal vectors, the vectors of other classes that each class is linked
+    to (key, others), and links (a, b) between classes with cosine >= threshold that join all that are linked."""
     spark = vectors.sparkSession
     usable = _usable(vectors)
     classes = cut(usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("key", F.concat_ws(":", F.col("rep"), F.sha1("v"))))
-    members = usable.join(classes.select("v", "rep", "key", "copies"), "v").select("vec_id", "rep", "key", "copies")
-    reps = classes.select("key", "rep", "v")
+    members = join_hot(usable, classes.select("v", "rep", "key", "copies"), ["v"]).select("vec_id", "rep", "key", "copies")
+    reps = classes.select("key", "rep", "v", "copies")
     total = classes.count()
     if not total:
-        return members, classes.select(F.col("key").alias("a"), F.col("key").alias("b")).where("false")
+        return members, classes.select("key", F.lit(0).cast("long").alias("others")).where("false"), classes.select(F.col("key").alias("a"), F.col("key").alias("b")).where("false")
     dims = classes.groupBy(F.length("v").alias("bytes")).count().orderBy(F.desc("count"), "bytes").first()
     share = max(1, -(-total // sample_rows))
-    picked = reps.where(F.length("v") == dims["bytes"]).where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).limit(sample_rows).collect()
+    of_dim = reps.where(F.length("v") == dims["bytes"])
+    picked = of_dim.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).orderBy(F.xxhash64("key"), "key").limit(sample_rows).select("rep", "v").collect()
     if not picked:
-        picked = reps.where(F.length("v") == dims["bytes"]).limit(1).collect()
+        picked = of_dim.orderBy("key").limit(1).select("rep", "v").collect()
     sample = np.stack([np.frombuffer(bytes(r["v"]), np.float64) for r in picked])
     index = MultiIndex(sample, books or int(np.clip(np.sqrt(total / 16), 8, 1024)))
     index.visits = _choose_visits(reps.select("rep", "v"), index, sample[:QUERY_SAMPLE], np.array([r["rep"] for r in picked[:QUERY_SAMPLE]]), threshold, recall)
@@ -165,9 +198,9 @@ def find_links(vectors: DataFrame, threshold: float = 0.95, books: int | None =
             fit = [i for i, v in enumerate(vs) if len(v) == idx.dim]
             if fit:
                 cell[fit] = idx.cells(np.stack([vs[i] for i in fit]))
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("v"), pa.array(cell)], ["key", "v", "cell"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("v"), b.column("copies"), pa.array(cell)], ["key", "v", "copies", "cell"])
 
-    placed = reps.select("key", "v").mapInArrow(place, "key string, v binary, cell long")
+    placed = reps.select("key", "v", "copies").mapInArrow(place, "key string, v binary, copies long, cell long")
     blocks = {r["cell"]: -(-r["count"] // BLOCK) for r in placed.groupBy("cell").count().where(F.col("count") > BLOCK).collect()}
     split = spark.sparkContext.broadcast(blocks)
 
@@ -178,48 +211,75 @@ def find_links(vectors: DataFrame, threshold: float = 0.95, books: int | None =
             vs, keys = _matrix(b), b.column("key").to_pylist()
             fit = [i for i, v in enumerate(vs) if len(v) == idx.dim]
             probes: dict[int, list[int]] = dict(zip(fit, idx.probes(np.stack([vs[i] for i in fit]), idx.visits))) if fit else {}
-            for i, (key, v, cell) in enumerate(zip(keys, b.column("v").to_pylist(), b.column("cell").to_pylist())):
+            for i, (key, v, copies, cell) in enumerate(zip(keys, b.column("v").to_pylist(), b.column("copies").to_pylist(), b.column("cell").to_pylist())):
                 n = split.value.get(cell, 1)
-                out.append((cell, hash_block(key, n), 0, key, v))
+                out.append((cell, hash_block(key, n), 0, key, copies, v))
                 for c in probes.get(i, [cell]):
-                    out.extend((c, k, 1, key, v) for k in range(split.value.get(c, 1)))
+                    out.extend((c, k, 1, key, copies, v) for k in range(split.value.get(c, 1)))
                 if len(out) > 20_000:
                     yield _spread_batch(out)
                     out = []
             yield _spread_batch(out)
 
     def compare(batches):
-        where, keys, held, unit = None, [], [], None
+        where, keys, held, unit, copies, root = None, [], [], None, [], []
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
         for b in batches:
-            left, right = [], []
-            rows = list(zip(*(b.column(c).to_pylist() for c in ("cell", "block", "probe", "key", "v"))))
+            left, right, count = [], [], []
+            rows = list(zip(*(b.column(c).to_pylist() for c in ("cell", "block", "probe", "key", "copies", "v"))))
             i = 0
             while i < len(rows):
                 at = rows[i][:2]
                 if at != where:
-                    where, keys, held, unit = at, [], [], None
+                    where, keys, held, unit, copies, root = at, [], [], None, [], []
                 j = i
                 while j < len(rows) and rows[j][:3] == rows[i][:3]:
                     j += 1
                 if rows[i][2] == 0:
                     keys += [r[3] for r in rows[i:j]]
-                    held += [np.frombuffer(r[4], np.float64) for r in rows[i:j]]
+                    copies += [r[4] for r in rows[i:j]]
+                    held += [np.frombuffer(r[5], np.float64) for r in rows[i:j]]
                 elif keys:
                     if unit is None:
-                        unit = _unit(np.stack(held))
+                        unit, copies, root = _unit(np.stack(held)), np.array(copies), list(range(len(keys)))
+                        number = {k: n for n, k in enumerate(keys)}
                     for s in range(i, j, 1024):
                         part = rows[s : min(s + 1024, j)]
-                        cos = _unit(np.stack([np.frombuffer(r[4], np.float64) for r in part])) @ unit.T
-                        for x, y in np.argwhere(cos >= threshold).tolist():
-                            if part[x][3] != keys[y]:
-                                left.append(min(part[x][3], keys[y]))
-                                right.append(max(part[x][3], keys[y]))
+                        close = _unit(np.stack([np.frombuffer(r[5], np.float64) for r in part])) @ unit.T >= threshold
+                        own = [number.get(r[3], -1) for r in part]
+                        inside = [x for x, n in enumerate(own) if n >= 0]
+                        close[inside, [own[x] for x in inside]] = False
+                        for x in np.flatnonzero(close.any(axis=1)).tolist():
+                            hits = np.flatnonzero(close[x])
+                            left.append(part[x][3])
+                            right.append(None)
+                            count.append(int(copies[hits].sum()))
+                            first = int(hits[0])
+                            if own[x] < 0 or find(own[x]) != find(first):
+                                left.append(part[x][3])
+                                right.append(keys[first])
+                                count.append(None)
+                                if own[x] >= 0:
+                                    root[find(own[x])] = find(first)
+                            for y in hits[1:].tolist():
+                                if find(y) != find(first):
+                                    root[find(y)] = find(first)
+                                    left.append(keys[first])
+                                    right.append(keys[y])
+                                    count.append(None)
                 i = j
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(count, pa.int64())], ["a", "b", "n"])
 
-    rows = placed.mapInArrow(spread, "cell long, block int, probe int, key string, v binary")
-    links = rows.repartition(shuffle_partitions(spark), "cell", "block").sortWithinPartitions("cell", "block", "probe").mapInArrow(compare, "a string, b string").distinct()
-    return members, cut(links)
+    rows = placed.mapInArrow(spread, "cell long, block int, probe int, key string, copies long, v binary")
+    found = cut(rows.repartition(shuffle_partitions(spark), "cell", "block").sortWithinPartitions("cell", "block", "probe").mapInArrow(compare, "a string, b string, n long"))
+    counts = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
+    return members, counts, found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def hash_block(key: str, n: int) -> int:
@@ -228,20 +288,19 @@ def hash_block(key: str, n: int) -> int:
 
 
 def _spread_batch(rows: list[tuple]) -> pa.RecordBatch:
-    c = list(zip(*rows)) if rows else [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary()))], ["cell", "block", "probe", "key", "v"])
+    c = list(zip(*rows)) if rows else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary()))], ["cell", "block", "probe", "key", "copies", "v"])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, books: int | None = None, sample_rows: int = 20_000, recall: float = 0.99) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per row of `vectors`."""
-    members, links = find_links(vectors, threshold, books, sample_rows, recall)
-    classes = members.groupBy("key").agg(F.min("rep").alias("rep"), F.max("copies").alias("copies"))
-    sides = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = sides.join(classes.select(F.col("key").alias("b"), "copies"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("copies").alias("others"))
-    rep = classes.select("key", "rep")
-    edges = links.join(rep.select(F.col("key").alias("a"), F.col("rep").alias("x")), "a").join(rep.select(F.col("key").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    members, counts, links = find_links(vectors, threshold, books, sample_rows, recall)
+    members = cut(members)
+    classes = members.groupBy("key").agg(F.min("rep").alias("rep"))
+    edges = links.join(classes.select(F.col("key").alias("a"), F.col("rep").alias("x")), "a").join(classes.select(F.col("key").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # rows of one vec_id that differ are one node
     part = connected_components(edges.union(members.select(F.col("rep").alias("a"), F.col("vec_id").alias("b"))))
-    own = members.join(degree, "key", "left").select("vec_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"))
+    own = join_hot(members.select("vec_id", "key", "copies"), counts, ["key"], "left").select("vec_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"))
     own = own.join(part.withColumnRenamed("node", "vec_id"), "vec_id", "left").select("vec_id", "n_links", F.coalesce("component", "vec_id").alias("component_id"))
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = ids.where("vec_id is null or embedding is null or size(embedding) = 0 or exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) or forall(embedding, x -> x = 0)")

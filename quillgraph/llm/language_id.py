@@ -92,6 +92,10 @@ def forward_backward(emit: np.ndarray, at: np.ndarray, move: np.ndarray, pairs:
     return (q, moves) if pairs else q
 
 
+#: Fewest training texts of a language, and most languages.
+LEAST_DOCS, MOST_LANGUAGES = 20, 2_000
+
+
 class Field:
     def __init__(self, labels: list[str]):
         self.labels = labels
@@ -142,20 +146,18 @@ class Field:
 
 
 def training_rows(docs: DataFrame, mod: int, held: int, train_docs: int, train_chars: int) -> list:
-    """At most train_docs rows (text, lang). A threshold on the id's hash, found from ids alone, picks them."""
+    """About train_docs rows (text, lang), an equal share of each language and of each at least LEAST_DOCS (all it has, if fewer). Thresholds on the
+    id's hash, found from ids alone, pick them. More than MOST_LANGUAGES languages raise ValueError: the model keeps a column for each."""
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(fold("doc_id", mod) != held).where(F.length("text") <= train_chars).withColumn("h", F.xxhash64("doc_id"))
-    by_lang = known.groupBy("lang").count().orderBy("lang").limit(1000).collect()
+    by_lang = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(by_lang) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not by_lang:
         return []
-    total = sum(r["count"] for r in by_lang)
-    # at least an equal share of the sample for each language, filled by hash thresholds
-    share = train_docs // len(by_lang)
-    wanted = None
-    for r in by_lang:
-        edge = int(-(2**63) + 2**64 * min(1.0, share / r["count"])) if total else 0
-        c = (F.col("lang") == r["lang"]) & (F.col("h") <= F.lit(min(edge, 2**63 - 1)))
-        wanted = c if wanted is None else wanted | c
-    return known.where(wanted).select("text", "lang", "h").limit(2 * train_docs).collect()
+    share = max(LEAST_DOCS, train_docs // len(by_lang))
+    edges = [(r["lang"], min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, share / r["count"])))) for r in by_lang]
+    edges = docs.sparkSession.createDataFrame(edges, "lang string, edge long")
+    return known.join(F.broadcast(edges), "lang").where("h <= edge").select("text", "lang", "h").collect()
 
 
 def predict_languages(docs: DataFrame, mod: int = 4, held: int = 2, train_docs: int = 1000, train_chars: int = 20_000) -> DataFrame:

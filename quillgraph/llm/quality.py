@@ -16,14 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from . import calibrate
 from . import textkit as T
-from .spark_util import fold, small_or_shuffled, tree_sum
+from .spark_util import cut, fold, small_or_shuffled, tree_sum
 
 LOW, HIGH = -0.5, 1.5
-_CLASSES = [T.byte_table(r) for r in ([(65, 90)], [(97, 122)], [(48, 57)], [(33, 47), (58, 64), (91, 96), (123, 126)], [(128, 255)], [(10, 10)], *([(ord(c), ord(c))] for c in "|!*%&#$.,"))]
+_CLASSES = [T.byte_table(r) for r in ([(65, 90)], [(97, 122)], [(48, 57)], [(33, 47), (58, 64), (91, 96), (123, 126)], [(128, 255)], [(10, 10)], [(46, 46), (33, 33), (63, 63)], [(44, 44), (58, 59)], [(35, 38), (42, 43), (60, 62), (64, 64), (94, 94), (124, 124), (126, 126)])]
 _LINE = ~T.byte_table([(10, 10)])
 N_STATS = len(_CLASSES) + 10
 
@@ -87,18 +86,18 @@ def _distinct_counts(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
 
 
 class Fourier:
-    """Standardisation and random Fourier features; a constant and the statistics themselves come first."""
+    """Standardisation and random Fourier features, after a constant."""
 
     def __init__(self, mean: np.ndarray, deviation: np.ndarray, features: int, width: float, seed: int):
         rng = np.random.default_rng(seed)
         self.mean, self.deviation = mean, np.where(deviation > 1e-9, deviation, 1.0)
         self.w = rng.normal(size=(len(mean), features)) / (width * np.sqrt(len(mean)))
         self.b = rng.uniform(0, 2 * np.pi, features)
-        self.size = 1 + len(mean) + features
+        self.size = 1 + features
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         x = np.clip((x - self.mean) / self.deviation, -6, 6)
-        return np.concatenate([np.ones((len(x), 1)), x, np.sqrt(2 / self.w.shape[1]) * np.cos(x @ self.w + self.b)], axis=1)
+        return np.concatenate([np.ones((len(x), 1)), np.sqrt(2 / self.w.shape[1]) * np.cos(x @ self.w + self.b)], axis=1)
 
 
 def _stats_frame(docs: DataFrame) -> DataFrame:
@@ -115,12 +114,13 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("stats").to_pylist()), np.float64).reshape(-1, N_STATS)
 
 
-def fit(stats: DataFrame, labels: DataFrame, label: str, mod: int, held: int, features: int = 256, width: float = 0.7, ridge: float = 1.0, seed: int = 17):
-    """(Fourier map, weights, knots) learnt from the rows outside fold `held`; None without labelled rows. Of the
+def fit(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, features: int = 512, width: float = 0.7, ridge: float = 0.05, seed: int = 17):
+    """(Fourier map, weights, knots) learnt from the labelled rows outside fold `held`; None without any. Of the
     remaining folds the first calibrates and the others fit."""
     calibrates = next(f for f in range(mod) if f != held)
     known = labels.where(f"doc_id is not null and {label} is not null").groupBy("doc_id").agg(F.avg(label).alias("y"))
-    learn = stats.join(small_or_shuffled(known), "doc_id").withColumn("fold", fold("doc_id", mod)).where(F.col("fold") != held).select("stats", "y", "fold").persist(StorageLevel.MEMORY_AND_DISK)
+    texts = docs.select("doc_id", "text").where(fold("doc_id", mod) != held).join(small_or_shuffled(known.select("doc_id")), "doc_id", "left_semi")
+    learn = cut(_stats_frame(texts)).join(small_or_shuffled(known), "doc_id").withColumn("fold", fold("doc_id", mod)).select("stats", "y", "fold")
 
     def moments(batches):
         total = np.zeros(1 + 2 * N_STATS)
@@ -157,7 +157,6 @@ def fit(stats: DataFrame, labels: DataFrame, label: str, mod: int, held: int, fe
         yield pa.RecordBatch.from_pydict({"part": pa.array([total.tobytes()], pa.binary())})
 
     t = tree_sum(learn.mapInArrow(histogram, "part binary"), "part").reshape(2, -1)
-    learn.unpersist()
     return phi, weights, calibrate.isotonic(t[0], t[1], LOW, HIGH)
 
 
@@ -170,22 +169,21 @@ def _score(x: np.ndarray, model) -> np.ndarray:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 5, held: int = 0) -> DataFrame:
     """(doc_id, held_out, score): the calibrated chance that `label` is 1."""
-    stats = _stats_frame(docs).persist(StorageLevel.MEMORY_AND_DISK)
-    model = docs.sparkSession.sparkContext.broadcast(fit(stats, labels, label, mod, held))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, mod, held))
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_score(_rows(b), model.value), pa.float64())], ["doc_id", "score"])
+        for batch in batches:
+            for b in T.slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_score(statistics(b), model.value), pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stats.mapInArrow(run, f"doc_id {kind}, score double").select("doc_id", (fold("doc_id", mod) == held).alias("held_out"), "score")
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return scored.select("doc_id", (fold("doc_id", mod) == held).alias("held_out"), "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mod: int = 5, held: int = 0) -> DataFrame:
     """`docs` without the rows that score under the threshold."""
-    stats = _stats_frame(docs).persist(StorageLevel.MEMORY_AND_DISK)
-    model = docs.sparkSession.sparkContext.broadcast(fit(stats, labels, "quality", mod, held))
-    stats.unpersist()
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, "quality", mod, held))
 
     def run(batches):
         for batch in batches:

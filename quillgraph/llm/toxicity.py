@@ -1,13 +1,14 @@
 """Toxic passages: maximum-scoring segments of token log-odds, with extreme-value statistics.
 
 Words (lower-cased A-Z; runs of digits, letters and characters beyond ASCII) are counted by class over all labelled learning
-texts, once a text. Each word's log-odds between classes is smoothed by a Dirichlet prior: `flat` for each word, and `prior` spread in proportion to its count in both. Words whose log-odds
-stand out (z >= `z_min`) score that log-odds; any other word costs `drop`. A linear scan finds all maximal
+texts, once a text. Each word's log-odds between classes is smoothed by a Dirichlet prior: `flat` for each word, and `prior` spread in proportion to its count in both. A word whose log-odds
+differs from 0 by `z_min` deviations or more, to either side, scores that log-odds; any other costs `drop`. A linear scan finds all maximal
 scoring segments of each whole text. The best segment's score becomes an expected number of such segments by chance
 (E = K n exp(-lambda S); lambda from the clean texts' word scores, K fitted on their best segments), and -ln E
 is mapped to a chance of the label by isotonic calibration.
 
-The model keeps the `model_words` words with the highest z; that bounds the model, not the counting. Defined cases: null, empty and
+No word is left out: a model of up to MODEL_WORDS words is broadcast, a larger one stays a table that the distinct words of the texts
+are joined to. Defined cases: null, empty and
 word-free texts have no segment and the score of one; a document labelled several times counts with the mean, rounded;
 with no labels all scores are 0.5; a null doc_id is scored and never learnt from.
 """
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 
 from . import calibrate
 from . import textkit as T
-from .spark_util import fold, small_or_shuffled, tree_sum
+from .spark_util import cut, fold, small_or_shuffled, tree_sum
 
 LOW, HIGH = -15.0, 85.0
+#: Words of a model that is broadcast (16 bytes each).
+MODEL_WORDS = 2_000_000
 
 
 def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
@@ -93,11 +96,41 @@ def best_segments(h: np.ndarray, words: np.ndarray, lexicon: Lexicon) -> tuple[n
     return best, segments
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, prior: float = 500.0, flat: float = 0.5, z_min: float = 3.0, drop: float = 0.15, model_words: int = 50_000):
-    """(Lexicon, knots), or None without labelled rows outside fold `held`. Of the remaining folds the last calibrates."""
+def _with_odds(docs: DataFrame, table: DataFrame | None) -> DataFrame:
+    """`docs` (with doc_id and text) and, where the model is a table, `model`: the model's words (word, odds) that the text holds."""
+    if table is None:
+        return docs
+
+    def run(batches):
+        for batch in batches:
+            for b in T.slices(batch, "text", 16_000_000):
+                h, words, *_ = _words(b)
+                owner = np.repeat(np.arange(b.num_rows), np.diff(words))
+                own = np.unique(np.stack([owner.astype(np.uint64), h]), axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(own[0].astype(np.int64))), pa.array(own[1].view(np.int64))], ["key", "word"])
+
+    keyed = docs.withColumn("key", F.xxhash64("text"))
+    found = keyed.where("text is not null").select("key", "text").mapInArrow(run, "key long, word long").distinct().join(table, "word")
+    return keyed.join(found.groupBy("key").agg(F.collect_list(F.struct("word", "odds")).alias("model")), "key", "left").drop("key")
+
+
+def _lexicon_of(b: pa.RecordBatch, lexicon: Lexicon) -> Lexicon:
+    """The model, or the part of it that the rows bring with them."""
+    if "model" not in b.schema.names:
+        return lexicon
+    flat = b.column("model").flatten()
+    words, first = np.unique(flat.field("word").to_numpy().view(np.uint64), return_index=True)
+    own = Lexicon(words, flat.field("odds").to_numpy()[first], lexicon.drop)
+    own.rate, own.offset = lexicon.rate, lexicon.offset
+    return own
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, prior: float = 500.0, flat: float = 0.5, z_min: float = 3.0, drop: float = 0.15):
+    """((Lexicon, knots), table), the table None where the model is broadcast; (None, None) without labelled rows outside fold `held`. Of the remaining folds the last calibrates."""
     calibrates = next(f for f in reversed(range(mod)) if f != held)
     known = labels.where(f"doc_id is not null and {label} is not null").groupBy("doc_id").agg(F.round(F.avg(label)).cast("int").alias("y"))
     learn = docs.select("doc_id", "text").join(small_or_shuffled(known), "doc_id").withColumn("fold", fold("doc_id", mod)).where(F.col("fold") != held).select("text", "y", "fold")
+    learn = cut(learn)
 
     def count(batches):
         for batch in batches:
@@ -114,24 +147,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, pri
                 yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(toxic), pa.array((n - toxic).astype(np.int64))], ["word", "toxic", "clean"])
 
     counts = learn.where(F.col("fold") != calibrates).mapInArrow(count, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    counts = counts.persist()
+    counts = cut(counts)
     n_t, n_c = (float(x or 0) for x in counts.agg(F.sum("t"), F.sum("c")).first())
     a = F.lit(prior) * (F.col("t") + F.col("c")) / F.lit(max(1.0, n_t + n_c))
     t, c = F.col("t") + a + F.lit(flat), F.col("c") + a + F.lit(flat)
     odds = F.log(t / (n_t + prior - t)) - F.log(c / (n_c + prior - c))
     z = odds / F.sqrt(1 / t + 1 / c)
-    top = counts.where("t > 0").select("word", "c", odds.alias("odds"), z.alias("z")).where(F.col("z") >= z_min).orderBy(F.desc("z"), "word").limit(model_words).collect() if n_t and n_c else []
-    counts.unpersist()
+    model = counts.select("word", "c", odds.alias("odds"), z.alias("z")).where((F.col("z") <= -z_min) | ((F.col("z") >= z_min) & (F.col("t") > 0))) if n_t and n_c else counts.select("word", "c", F.lit(0.0).alias("odds")).where("false")
+    model = cut(model.select("word", "c", "odds"))
+    size = model.count()
+    table = model.select("word", "odds") if size > MODEL_WORDS else None
+    top = model.select("word", "odds").collect() if table is None else []
     lexicon = Lexicon(np.array([r["word"] for r in top], np.int64).view(np.uint64), np.array([r["odds"] for r in top], float), drop)
-    if top:
+    # the clean texts' word scores, in bins: enough for lambda however many words there are
+    bins = model.groupBy(F.round("odds", 3).alias("s")).agg(F.sum((F.col("c") + 0.5) / F.lit(max(1.0, n_c))).alias("p")).collect()
+    learn = _with_odds(learn, table)
+    if size:
         # lambda solves sum p exp(lambda s) = 1 over the clean texts' words
-        p, s = np.array([(r["c"] + 0.5) / n_c for r in top]), np.array([r["odds"] for r in top])
+        p, s = np.array([float(r["p"]) for r in bins]), np.array([r["s"] for r in bins])
         low, high = 1e-6, 50.0
         for _ in range(100):
             mid = (low + high) / 2
-            grown = float((p * np.exp(np.minimum(mid * s, 700))).sum() + (1 - p.sum()) * math.exp(-mid * drop))
+            grown = float((p * np.exp(np.minimum(mid * s, 700))).sum() + max(0.0, 1 - p.sum()) * math.exp(-mid * drop))
             low, high = (mid, high) if grown < 1 else (low, mid)
-        lexicon.rate = min(low, 1.0)
+        lexicon.rate = low
     sc = docs.sparkSession.sparkContext
     first = sc.broadcast(lexicon)
 
@@ -140,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, pri
         for batch in batches:
             for b in T.slices(batch, "text"):
                 h, words, *_ = _words(b)
-                best, _ = best_segments(h, words, first.value)
+                best, _ = best_segments(h, words, _lexicon_of(b, first.value))
                 use = (np.array(b.column("y")) == 0) & (best > 0)
                 total += [use.sum(), (first.value.rate * best[use] - np.log(np.diff(words)[use])).sum()]
         yield pa.RecordBatch.from_pydict({"part": pa.array([total.tobytes()], pa.binary())})
@@ -155,21 +194,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, pri
         for batch in batches:
             for b in T.slices(batch, "text"):
                 h, words, *_ = _words(b)
-                best, _ = best_segments(h, words, second.value)
+                best, _ = best_segments(h, words, _lexicon_of(b, second.value))
                 at = calibrate.bin_of(second.value.evidence(best, np.diff(words)), LOW, HIGH)
                 total += np.stack([np.bincount(at, minlength=calibrate.BINS), np.bincount(at, weights=np.array(b.column("y")), minlength=calibrate.BINS)])
         yield pa.RecordBatch.from_pydict({"part": pa.array([total.tobytes()], pa.binary())})
 
     t = tree_sum(learn.where(F.col("fold") == calibrates).mapInArrow(histogram, "part binary"), "part")
     if t is None:
-        return None
-    return lexicon, calibrate.isotonic(*t.reshape(2, -1), LOW, HIGH)
+        return None, None
+    return (lexicon, calibrate.isotonic(*t.reshape(2, -1), LOW, HIGH)), table
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3, held: int = 1) -> DataFrame:
     """(doc_id, held_out, score, segments): the chance that `label` is 1, and the passages, as UTF-8 byte ranges
     [start, end) with score, whose -ln E is positive."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, mod, held))
+    fitted, table = fit(docs, labels, label, mod, held)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -179,7 +219,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
                 if model.value is None:
                     score, found = np.full(b.num_rows, 0.5), [[] for _ in range(b.num_rows)]
                 else:
-                    lexicon, knots = model.value
+                    lexicon, knots = _lexicon_of(b, model.value[0]), model.value[1]
                     best, segments = best_segments(h, words, lexicon)
                     n = np.diff(words)
                     score = calibrate.apply(lexicon.evidence(best, n), knots, LOW, HIGH)
@@ -190,5 +230,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
                 spans = pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score, pa.float64()), spans], ["doc_id", "score", "segments"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, segments array<struct<start:long,end:long,score:double>>")
+    scored = _with_odds(docs.select("doc_id", "text"), table).mapInArrow(run, f"doc_id {kind}, score double, segments array<struct<start:long,end:long,score:double>>")
     return scored.select("doc_id", (fold("doc_id", mod) == held).alias("held_out"), "score", "segments")
