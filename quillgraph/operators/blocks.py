@@ -5,12 +5,15 @@ blocks (v, blk) with blk 0 .. B - 1; sizes (blk, k); conn (r, s, m) with r <= s,
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import both_ways
 
 LIMIT = 1e-6
+#: Cells of the matrix on which blocks are matched.
+MATCHING_CELLS = 4_000_000
 
 
 def reindex(blocks: DataFrame) -> DataFrame:
@@ -127,6 +130,40 @@ def apply_delta(conn: DataFrame, delta: DataFrame) -> DataFrame:
     return conn.select("r", "s", "m").union(delta.select("r", "s", F.col("de").alias("m"))).groupBy("r", "s").agg(F.sum("m").alias("m")).where("m <> 0")
 
 
+def overwritten(increments: DataFrame) -> DataFrame:
+    """(move_id, r, s, de): of the increments (move_id, seq, r, s, de) of a cell the last one, r <= s; of two with one seq the larger."""
+    x = increments.select("move_id", F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s"), "seq", "de")
+    return x.groupBy("move_id", "r", "s").agg(F.max_by("de", F.struct("seq", "de")).alias("de"))
+
+
+def diagonal_counts(conn: DataFrame, size: DataFrame) -> DataFrame:
+    """(blk, m) of all blocks, 0 without inner edges."""
+    return size.select("blk").join(conn.where("r = s").select(F.col("r").alias("blk"), "m"), "blk", "left").select("blk", F.coalesce("m", F.lit(0)).cast("long").alias("m"))
+
+
+def counts_for_pairs(conn: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(r, s, m) for each of the pairs, 0 where there is no count."""
+    return pairs.select("r", "s").join(conn, ["r", "s"], "left").select("r", "s", F.coalesce("m", F.lit(0)).cast("long").alias("m"))
+
+
+def add_block(size: DataFrame, blocks: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sizes, blocks) with a new last block that holds `nodes` (v), or none; nodes leave their old blocks. Counts do not change
+    where the block is empty; else connectivity() gives the new ones."""
+    spark = size.sparkSession
+    new = int(size.agg(F.coalesce(F.max("blk") + 1, F.lit(0))).first()[0])
+    if nodes is None:
+        return size.select("blk", "k").union(spark.createDataFrame([(new, 0)], "blk long, k long")), blocks
+    moved = blocks.join(nodes.select("v", F.lit(True).alias("_m")), "v", "full").select("v", F.when(F.col("_m"), F.lit(new)).otherwise(F.col("blk")).cast("long").alias("blk"))
+    all_ = size.select("blk").union(spark.createDataFrame([(new,)], "blk long"))
+    return all_.join(sizes(moved), "blk", "left").select("blk", F.coalesce("k", F.lit(0)).cast("long").alias("k")), moved
+
+
+def remove_block(size: DataFrame, conn: DataFrame, blk: int) -> tuple[DataFrame, DataFrame]:
+    """(sizes, conn) without a block; the ids above it move down by one."""
+    down = lambda c: (F.col(c) - (F.col(c) > blk).cast("long")).alias(c)
+    return size.where(F.col("blk") != blk).select(down("blk"), "k"), conn.where((F.col("r") != blk) & (F.col("s") != blk)).select(down("r"), down("s"), "m")
+
+
 def apply_moves(blocks: DataFrame, moves: DataFrame) -> DataFrame:
     to = moves.select(F.explode(F.array(F.struct(F.col("i").alias("v"), F.col("b").alias("to")), F.struct(F.col("j").alias("v"), F.col("a").alias("to")))).alias("x")).select("x.v", "x.to")
     return blocks.join(to, "v", "left").select("v", F.coalesce("to", "blk").alias("blk"))
@@ -178,3 +215,55 @@ def map_equation(edges: DataFrame, blocks: DataFrame) -> DataFrame:
     q, p = F.col("cut") / (m2 * F.col("e")), F.col("vol") / (m2 * F.col("e"))
     mods = ends.crossJoin(F.broadcast(total)).agg(F.sum(q).alias("q"), F.sum(plogp(q)).alias("hq"), F.sum(plogp(q + p)).alias("hp"))
     return mods.crossJoin(nodes).select((plogp(F.col("q")) - 2 * F.col("hq") - F.col("hn") + F.col("hp")).alias("codelength"))
+
+
+def contingency(estimated: DataFrame, truth: DataFrame) -> DataFrame:
+    """(estimated, truth, n) of two assignments (v, blk)."""
+    return estimated.select("v", F.col("blk").alias("estimated")).join(truth.select("v", F.col("blk").alias("truth")), "v").groupBy("estimated", "truth").agg(F.count(F.lit(1)).alias("n"))
+
+
+def misclassification(estimated: DataFrame, truth: DataFrame) -> float:
+    """1 - (nodes on the best one-to-one matching of blocks) / nodes. The counts are made in Spark; the matching is solved on the driver, on
+    a matrix of blocks by blocks of at most MATCHING_CELLS cells."""
+    cells = contingency(estimated, truth).limit(MATCHING_CELLS + 1).collect()
+    rows, cols = sorted({r["estimated"] for r in cells}), sorted({r["truth"] for r in cells})
+    if len(rows) * len(cols) > MATCHING_CELLS:
+        raise ValueError("too many blocks to match")
+    if not cells:
+        return 0.0
+    at, to = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
+    m = np.zeros((len(rows), len(cols)))
+    for r in cells:
+        m[at[r["estimated"]], to[r["truth"]]] = r["n"]
+    return float(1 - best_matching(m) / m.sum())
+
+
+def best_matching(gain: np.ndarray) -> float:
+    """The largest sum of cells, at most one a row and one a column, by shortest augmenting paths with potentials."""
+    cost = -np.asarray(gain if gain.shape[0] <= gain.shape[1] else gain.T, float)
+    n, m = cost.shape
+    row_of = np.full(m, -1)
+    u, v = np.zeros(n), np.zeros(m)
+    for start in range(n):
+        least, back, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        row, col = start, -1
+        while True:
+            slack = cost[row] - u[row] - v
+            better = ~done & (slack < least)
+            least[better], back[better] = slack[better], col
+            open_ = np.where(done, np.inf, least)
+            nxt = int(np.argmin(open_))
+            step = open_[nxt]
+            u[start] += step
+            u[row_of[done]] += step
+            v[done] -= step
+            least[~done] -= step
+            done[nxt], col = True, nxt
+            if row_of[nxt] < 0:
+                break
+            row = row_of[nxt]
+        while col >= 0:
+            row_of[col] = start if back[col] < 0 else row_of[back[col]]
+            col = back[col]
+    held = row_of >= 0
+    return float(-cost[row_of[held], np.flatnonzero(held)].sum())

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Directed edges of a graph that is broadcast for searches (16 bytes each, with the offsets); beyond it frontiers are joined.
+BROADCAST_EDGES = 5_000_000
+
 
 def canonical(edges: DataFrame) -> DataFrame:
     """Simple undirected edges: src < dst, once each, no loops."""
@@ -36,15 +41,25 @@ def degree_histogram(deg: DataFrame) -> DataFrame:
 
 
 def wasserstein(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row `emd`: the first Wasserstein distance between samples (x). Samples are counted by value first; the running sums
-    go over distinct values."""
+    """One row `emd`: the first Wasserstein distance between samples (x). Samples are counted by value first. Distinct values are dealt by
+    range; each range sums inside, and only the ranges' totals and first values, one row a partition, are put in order on one task."""
+    from ..plans.session import cut
+
     one = a.groupBy("x").agg(F.count(F.lit(1)).alias("p")).select("x", "p", F.lit(0).cast("long").alias("q"))
     two = b.groupBy("x").agg(F.count(F.lit(1)).alias("q")).select("x", F.lit(0).cast("long").alias("p"), "q")
-    both = one.union(two).groupBy("x").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    run = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    step = both.select(
-        (F.sum("p").over(run) / F.sum("p").over(whole)).alias("f"), (F.sum("q").over(run) / F.sum("q").over(whole)).alias("g"), (F.lead("x").over(Window.orderBy("x")) - F.col("x")).alias("dx")
+    both = one.union(two).where("x is not null").groupBy("x").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(both.repartitionByRange(parts, "x").withColumn("_p", F.spark_partition_id()))
+    ranges = dealt.groupBy("_p").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"), F.min("x").alias("low"))
+    before, whole = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    zero = F.lit(0)
+    ranges = ranges.select("_p", F.coalesce(F.sum("sp").over(before), zero).alias("op"), F.coalesce(F.sum("sq").over(before), zero).alias("oq"), F.sum("sp").over(whole).alias("tp"), F.sum("sq").over(whole).alias("tq"), F.lead("low").over(Window.orderBy("_p")).alias("next"))
+    run = Window.partitionBy("_p").orderBy("x")
+    upto = run.rowsBetween(Window.unboundedPreceding, 0)
+    step = dealt.join(F.broadcast(ranges), "_p").select(
+        ((F.col("op") + F.sum("p").over(upto)) / F.col("tp")).alias("f"),
+        ((F.col("oq") + F.sum("q").over(upto)) / F.col("tq")).alias("g"),
+        (F.coalesce(F.lead("x").over(run), "next") - F.col("x")).alias("dx"),
     )
     return step.agg(F.coalesce(F.sum(F.abs(F.col("f") - F.col("g")) * F.col("dx")), F.lit(0.0)).alias("emd"))
 
@@ -115,3 +130,101 @@ def bfs(edges: DataFrame, sources: DataFrame, cutoff: int | None = None) -> Data
         front = cut(nxt.join(seen.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(d).cast("long").alias("d")))
         seen = cut(seen.union(front))
     return seen
+
+
+def _packed(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(ids, offsets, neighbours) of the graph both ways, if it has at most BROADCAST_EDGES directed edges."""
+    if edges.limit(BROADCAST_EDGES // 2 + 1).count() > BROADCAST_EDGES // 2:
+        return None
+    t = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).toArrow()
+    a, b = t.column("src").to_numpy(), t.column("dst").to_numpy()
+    u, w = np.concatenate([a, b]), np.concatenate([b, a])
+    ids, u = np.unique(u, return_inverse=True)
+    w = np.searchsorted(ids, w)
+    by = np.argsort(u, kind="stable")
+    return ids, np.concatenate([[0], np.cumsum(np.bincount(u, minlength=len(ids)))]), w[by].astype(np.int32)
+
+
+def distances(edges: DataFrame, sources: DataFrame, cutoff: int | None = None) -> DataFrame:
+    """(s, v, d) as bfs(). Where the graph is small enough to broadcast (its size is measured), sources are dealt over tasks and each
+    searches by itself, one level of the whole frontier at a time; else the frontiers of all sources are joined."""
+    packed = _packed(edges)
+    if packed is None:
+        return bfs(edges, sources, cutoff)
+    spark = edges.sparkSession
+    shared = spark.sparkContext.broadcast(packed)
+
+    def run(batches):
+        ids, offsets, to = shared.value
+        for batch in batches:
+            for s in batch.column("v").to_pylist():
+                at = int(np.searchsorted(ids, s))
+                if at == len(ids) or ids[at] != s:
+                    yield pa.RecordBatch.from_pydict({"s": pa.array([s], pa.int64()), "v": pa.array([s], pa.int64()), "d": pa.array([0], pa.int64())})
+                    continue
+                dist = np.full(len(ids), -1, np.int64)
+                dist[at], front, d = 0, np.array([at]), 0
+                while len(front) and (cutoff is None or d < cutoff):
+                    d += 1
+                    count = offsets[front + 1] - offsets[front]
+                    first = np.cumsum(count) - count
+                    near = to[np.arange(count.sum()) + np.repeat(offsets[front] - first, count)]
+                    near = near[dist[near] < 0]
+                    dist[near] = d
+                    front = np.unique(near)
+                seen = np.flatnonzero(dist >= 0)
+                yield pa.RecordBatch.from_pydict({"s": pa.array(np.full(len(seen), s)), "v": pa.array(ids[seen]), "d": pa.array(dist[seen])})
+
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return sources.select(F.col("v").cast("long").alias("v")).repartition(parts).mapInArrow(run, "s long, v long, d long")
+
+
+def weighted_distances(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(s, v, d): least sums of nonnegative weights w over undirected edges (src, dst, w), by rounds of relaxation."""
+    from ..plans.session import cut
+
+    if not edges.where("w < 0").isEmpty():
+        raise ValueError("weights must not be negative")
+    one = edges.select(F.col("src").alias("u"), F.col("dst").alias("x"), F.col("w").cast("double").alias("w"))
+    sym = cut(one.union(one.select(F.col("x").alias("u"), F.col("u").alias("x"), "w")).groupBy("u", "x").agg(F.min("w").alias("w")))
+    best = cut(sources.select(F.col("v").alias("s"), "v", F.lit(0.0).alias("d")))
+    front = best
+    for _ in range(max_rounds):
+        step = front.join(sym, front["v"] == sym["u"]).groupBy("s", "x").agg(F.min(F.col("d") + F.col("w")).alias("n")).withColumnRenamed("x", "v")
+        front = cut(step.join(best, ["s", "v"], "left").where("d is null or n < d").select("s", "v", F.col("n").alias("d")))
+        if front.isEmpty():
+            return best
+        best = cut(best.join(front.withColumnRenamed("d", "n"), ["s", "v"], "full").select("s", "v", F.coalesce("n", "d").alias("d")))
+    raise RuntimeError("distances did not settle")
+
+
+def largest(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) of the largest component."""
+    from ..plans.session import cut
+
+    edges = cut(edges)
+    kept = cut(largest_component(components(edges, nodes)))
+    return within(edges, kept), kept
+
+
+def path_lengths(edges: DataFrame, nodes: DataFrame, samples: int | None = 10_000, exact: int = 2_000, seed: int = 0, lcc: bool = True) -> DataFrame:
+    """(x): shortest distances between different nodes of the largest component. Up to `exact` nodes, or without `samples`, those of all
+    ordered pairs; else of min(samples, n (n - 1) / 2) ordered pairs drawn by hash, with repeats. Distances are never cut."""
+    from ..functions.scalars import u01
+    from ..plans.session import cut
+    from .ordering import ranked
+
+    if lcc:
+        edges, nodes = largest(edges, nodes)
+    edges, nodes = cut(edges), cut(nodes)
+    n = nodes.count()
+    if samples is None or n <= exact:
+        return distances(edges, nodes).where("s <> v").select(F.col("d").alias("x"))
+    draws = nodes.sparkSession.range(min(samples, n * (n - 1) // 2))
+    i, j = F.floor(u01(seed, "id") * n).cast("long"), F.floor(u01(seed + 1, "id") * (n - 1)).cast("long")
+    draws = draws.select("id", i.alias("i"), F.when(j >= i, j + 1).otherwise(j).alias("j"))
+    numbered = cut(ranked(nodes, "v").select("rank", "v"))
+    pairs = draws.join(numbered.select(F.col("rank").alias("i"), F.col("v").alias("s")), "i").join(numbered.select(F.col("rank").alias("j"), "v"), "j").select("s", "v")
+    pairs = cut(pairs)
+    found = distances(edges, pairs.select(F.col("s").alias("v")).distinct())
+    return pairs.join(found, ["s", "v"]).select(F.col("d").alias("x"))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import activation_threshold, gaussian_constant, normal, u01
 from .blocks import possible, possible_pairs, with_pairs, zero_pairs
 
+#: Expected draws of one stretch of a cell when a graph is sampled.
+STRETCH = 10_000
+
 CLIP, WEIGHT_CLIP = 1e-12, 1e12
 
 
@@ -56,12 +59,17 @@ def block_weights(conn: DataFrame, size: DataFrame) -> DataFrame:
 
 
 def normaliser(conn: DataFrame, size: DataFrame, sensitivity: int) -> DataFrame:
-    """One row `total`: sum of sqrt(c w) over block sizes, stored cells and zero pairs (weight 1 / n; pairs without room count nothing)."""
+    """One row `total`: sum of sqrt(c w) over block sizes, stored cells and zero pairs (weight 1 / n; pairs without room count nothing).
+    Zero pairs are not listed: over all pairs of blocks 1 / sqrt(k_r k_s) sums to half of (sum k^-1/2)^2 - sum 1 / k, and the
+    stored ones are taken off."""
     c = float(sensitivity**2)
+    stored = with_pairs(conn.where("r <> s"), size)
+    every = size.agg(((F.pow(F.sum(1 / F.sqrt("k")), 2) - F.sum(1 / F.col("k"))) / 2).alias("x"))
+    held = stored.agg(F.coalesce(F.sum(1 / F.sqrt("n")), F.lit(0.0)).alias("y"))
     parts = [
         block_weights(conn, size).agg(F.sum(F.sqrt("w")).alias("x")),
         edge_weights(conn, size).agg(F.sum(F.sqrt(c * F.col("w"))).alias("x")),
-        zero_pairs(conn, size).where("r <> s and n > 0").agg(F.sum(F.sqrt(c / F.col("n"))).alias("x")),
+        every.crossJoin(held).select((math.sqrt(c) * F.greatest(F.col("x") - F.col("y"), F.lit(0.0))).alias("x")),
     ]
     total = parts[0].union(parts[1]).union(parts[2]).agg(F.sum("x").alias("total"))
     return total.select(F.when(F.col("total") > 0, F.col("total")).otherwise(1e-12).alias("total"))
@@ -82,6 +90,16 @@ def noisy_counts(conn: DataFrame, sigma: DataFrame, seed: int) -> DataFrame:
     return conn.join(sigma.select("r", "s", "sigma"), ["r", "s"], "left").select("r", "s", (F.col("m") + F.coalesce("sigma", F.lit(0.0)) * normal(seed, "r", "s")).alias("x"))
 
 
+def noisy_sizes(size: DataFrame, sigma: DataFrame, seed: int) -> DataFrame:
+    """(blk, x): sizes plus noise of sigma (blk, sigma)."""
+    return size.join(sigma.select("blk", "sigma"), "blk", "left").select("blk", (F.col("k") + F.coalesce("sigma", F.lit(0.0)) * normal(seed + 30, "blk")).alias("x"))
+
+
+def private_acceptance(delta: Column, eps: float, sensitivity: float) -> Column:
+    """min(1, exp(-eps delta / (2 sensitivity))): the chance of a swap that changes the score by delta under an exponential mechanism."""
+    return F.least(F.lit(1.0), F.exp(-eps * delta / (2.0 * sensitivity)))
+
+
 def naive_clamp(noisy: DataFrame, sigma: DataFrame, size: DataFrame, k: int, seed: int) -> DataFrame:
     """(r, s, m): a second draw is added, then counts are cut to integers in 0 .. N for blocks of k nodes."""
     full = F.when(F.col("r") == F.col("s"), F.lit(k * (k - 1) // 2)).otherwise(F.lit(k * k))
@@ -98,30 +116,112 @@ def lasso(noisy: DataFrame, sigma: DataFrame, k: int, lam: float | None = None)
     return x.select("r", "s", F.least(full, F.greatest(F.lit(0), F.bround(soft))).cast("long").alias("m"))
 
 
-def noisy_zero_pairs(conn: DataFrame, size: DataFrame, factor: float, sensitivity: int, k: int, seed: int, lam: float = 0.0) -> DataFrame:
-    """(r, s, m): zero pairs that noise lifts to a count; lam 0 is the naive form."""
-    full = F.when(F.col("r") == F.col("s"), F.lit(k * (k - 1) / 2)).otherwise(F.lit(float(k * k)))
-    z = zero_pairs(conn, size).where("n > 0").select("r", "s", full.alias("n"), F.sqrt(F.sqrt(F.lit(float(sensitivity**2)) / full) * factor).alias("sig"))
+def noisy_zero_pairs(conn: DataFrame, size: DataFrame, factor: Column, sensitivity: int, k: int, seed: int, lam: float = 0.0) -> DataFrame:
+    """(r, s, m): zero pairs that noise lifts to a count; lam 0 is the naive form. `factor` is a column of one row with the
+    normaliser's `total`."""
+    full = F.when(F.col("r") == F.col("s"), F.lit(k * (k - 1) // 2)).otherwise(F.lit(k * k))
+    z = zero_pairs(conn, size).crossJoin(F.broadcast(normaliser(conn, size, sensitivity)))
+    z = z.select("r", "s", full.alias("n"), F.sqrt(F.sqrt(F.lit(float(sensitivity**2)) / full) * factor).alias("sig"))
     z = z.where("n > 0").withColumn("z", F.col("sig") * normal(seed + 20, "r", "s")).where("z >= 0.5")
-    return z.select("r", "s", F.least("n", F.bround(F.greatest(F.col("z") - lam * F.col("sig"), F.lit(0.0)))).cast("long").alias("m")).where("m > 0")
-
-
-def sample_graph(blocks: DataFrame, conn: DataFrame, seed: int) -> DataFrame:
-    """Canonical edges of a surrogate: each pair of nodes in a pair of blocks with m > 0 edges is drawn with chance m / n. Only such
-    blocks' pairs are expanded; the draw is a hash, so a lost task repeats it exactly."""
+    return z.select("r", "s", F.least("n", F.bround(F.greatest(F.col("z") - lam * F.col("sig"), F.lit(0.0))).cast("long")).alias("m")).where("m > 0")
+
+
+def positions(cells: DataFrame, seed: int) -> DataFrame:
+    """(.., at): places 0 .. n - 1 of each cell (r, s, n, p ..), each there with chance p, independently. Gaps between places are
+    geometric and drawn by hash, so the work grows with the places drawn, not with n. A cell is cut into stretches of about STRETCH
+    expected draws, each summed by itself; a stretch gets ten deviations more draws than it is expected to need, and too few are an error."""
+    c = cells.where("n > 0 and p > 0").withColumn("_c", F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("p") / STRETCH)).cast("long"))
+    c = c.withColumn("_l", F.ceil(F.col("n") / F.col("_c")).cast("long")).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1)))
+    c = c.withColumn("_n", F.least(F.col("_l"), F.col("n") - F.col("_i") * F.col("_l"))).where("_n > 0")
+    mean = F.col("_n") * F.col("p")
+    draws = F.least(F.col("_n"), F.ceil(mean + 10 * F.sqrt(mean) + 40).cast("long"))
+    c = c.withColumn("_k", draws).withColumn("_d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k"))))
+    gap = F.when(F.col("p") >= 1, F.lit(0.0)).otherwise(F.floor(F.log(u01(seed, "r", "s", "_i", "_d")) / F.log(1 - F.col("p"))))
+    run = Window.partitionBy("r", "s", "_i").orderBy("_d")
+    c = c.withColumn("_at", F.sum(F.least(gap.cast("double"), F.col("_n").cast("double")) + 1).over(run.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    short = (F.col("_d") == F.col("_k")) & (F.col("_at") < F.col("_n") - 1) & (F.col("_k") < F.col("_n"))
+    c = c.withColumn("_at", F.when(short, F.raise_error(F.lit("too few draws for a stretch"))).otherwise(F.col("_at")))
+    return c.where("_at < _n").withColumn("at", (F.col("_i") * F.col("_l") + F.col("_at")).cast("long")).drop("_c", "_l", "_i", "_n", "_k", "_d", "_at")
+
+
+def _drawn(blocks: DataFrame, cells: DataFrame, seed: int, directed: bool = False) -> DataFrame:
+    """(src, dst): places of cells (r, s, n, p, kr, ks) as pairs of members, numbered by id inside their blocks."""
+    x = positions(cells, seed)
+    at = F.col("at")
+    if directed:  # a diagonal cell leaves out loops
+        wide = F.when(F.col("r") == F.col("s"), F.col("ks") - 1).otherwise(F.col("ks"))
+        i = F.floor(at / wide).cast("long")
+        j = F.pmod(at, wide)
+        j = F.when((F.col("r") == F.col("s")) & (j >= i), j + 1).otherwise(j)
+    else:  # a diagonal cell is the triangle j < i
+        row = F.floor((1 + F.sqrt(1 + 8.0 * at)) / 2).cast("long")
+        row = F.when(row * (row - 1) / 2 > at, row - 1).when(row * (row + 1) / 2 <= at, row + 1).otherwise(row)
+        i = F.when(F.col("r") == F.col("s"), row).otherwise(F.floor(at / F.col("ks")).cast("long"))
+        j = F.when(F.col("r") == F.col("s"), at - (row * (row - 1) / 2).cast("long")).otherwise(F.pmod(at, F.col("ks")))
+    numbered = blocks.withColumn("_n", F.row_number().over(Window.partitionBy("blk").orderBy("v")).cast("long") - 1)
+    x = x.select("r", "s", i.alias("i"), j.alias("j"))
+    x = x.join(numbered.select(F.col("blk").alias("r"), F.col("_n").alias("i"), F.col("v").alias("u")), ["r", "i"])
+    x = x.join(numbered.select(F.col("blk").alias("s"), F.col("_n").alias("j"), F.col("v").alias("w")), ["s", "j"])
+    return x.select(F.col("u").alias("src"), F.col("w").alias("dst")) if directed else x.select(F.least("u", "w").alias("src"), F.greatest("u", "w").alias("dst"))
+
+
+def sample_graph(blocks: DataFrame, conn: DataFrame, seed: int, directed: bool = False) -> DataFrame:
+    """Edges of a surrogate: each pair of nodes in a pair of blocks with m > 0 edges is drawn with chance m / n, so the work grows with
+    the edges. Undirected edges are canonical; with `directed`, conn holds ordered pairs of blocks and edges are ordered. The
+    draw is a hash, so a lost task repeats it exactly."""
     size = blocks.groupBy("blk").agg(F.count(F.lit(1)).alias("k"))
-    p = with_pairs(conn.where("m > 0"), size).where("n > 0").select("r", "s", (F.col("m") / F.col("n")).alias("p"))
-    x = p.join(blocks.select(F.col("v").alias("u"), F.col("blk").alias("r")), "r").join(blocks.select("v", F.col("blk").alias("s")), "s")
-    pairs = x.where("r <> s or u < v").select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst"), "p")
-    return pairs.where(u01(seed, "src", "dst") < F.col("p")).select("src", "dst")
+    p = with_pairs(conn.where("m > 0"), size)
+    if directed:
+        p = p.withColumn("n", F.when(F.col("r") == F.col("s"), F.col("kr") * (F.col("kr") - 1)).otherwise(F.col("kr") * F.col("ks")))
+    return _drawn(blocks, p.where("n > 0").select("r", "s", "n", F.least(F.col("m") / F.col("n"), F.lit(1.0)).alias("p"), "kr", "ks"), seed, directed)
+
+
+def checked_sample(size: DataFrame, conn: DataFrame, seed: int, directed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(blocks, edges) of a released fit: sizes (blk, k) and counts (r, s, m). Nodes are numbered block by block. Sizes below 1, blocks
+    without a size, negative counts and counts above the pairs there are raise ValueError."""
+    rows = size.where("k is null or k < 1 or k <> floor(k)").limit(1).count()
+    if rows or size.count() != size.select("blk").distinct().count():
+        raise ValueError("block sizes must be whole numbers of at least 1, one a block")
+    ends = conn.select(F.explode(F.array("r", "s")).alias("blk")).join(size, "blk", "left_anti")
+    if not ends.isEmpty():
+        raise ValueError("a count names a block without a size")
+    room = F.when(F.col("r") == F.col("s"), F.col("kr") * (F.col("kr") - 1) / (1 if directed else 2)).otherwise(F.col("kr") * F.col("ks"))
+    if not with_pairs(conn, size).where((F.col("m") < 0) | (F.col("m") > room)).isEmpty():
+        raise ValueError("a count is negative or above the pairs of its blocks")
+    if not directed and not conn.where("r > s").isEmpty():
+        raise ValueError("undirected counts hold each pair of blocks once, r <= s")
+    offsets = size.select("blk", "k", (F.sum("k").over(Window.orderBy("blk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")).alias("o"))
+    blocks = offsets.select("blk", F.explode(F.expr("sequence(cast(o as bigint), cast(o + k - 1 as bigint))")).alias("v")).select("v", "blk")
+    return blocks, sample_graph(blocks, conn, seed, directed)
 
 
 def planted_partition(blocks: DataFrame, p_in: float, p_out: float, seed: int) -> DataFrame:
     """Canonical edges of a planted partition."""
+    return sample_matrix(blocks, None, seed, (p_in, p_out))
+
+
+def sample_matrix(blocks: DataFrame, chances: DataFrame | None, seed: int, planted: tuple[float, float] | None = None) -> DataFrame:
+    """Canonical edges from chances (r, s, p) of all pairs of blocks, or from a pair of them for inside and between blocks. A chance outside
+    0 .. 1, a pair given twice with different chances, or a pair without one raises ValueError."""
     size = blocks.groupBy("blk").agg(F.count(F.lit(1)).alias("k"))
-    pairs = possible_pairs(size).select("r", "s", F.when(F.col("r") == F.col("s"), p_in).otherwise(p_out).alias("p"))
-    x = pairs.join(blocks.select(F.col("v").alias("u"), F.col("blk").alias("r")), "r").join(blocks.select("v", F.col("blk").alias("s")), "s").where("r <> s or u < v")
-    return x.select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst"), "p").where(u01(seed, "src", "dst") < F.col("p")).select("src", "dst")
+    every = with_pairs(possible_pairs(size).select("r", "s"), size)
+    if planted is not None:
+        if not all(0 <= p <= 1 for p in planted):
+            raise ValueError("chances lie in 0 .. 1")
+        cells = every.withColumn("p", F.when(F.col("r") == F.col("s"), float(planted[0])).otherwise(float(planted[1])))
+    else:
+        if not chances.where("p is null or p < 0 or p > 1").isEmpty():
+            raise ValueError("chances lie in 0 .. 1")
+        given = chances.groupBy(F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s")).agg(F.min("p").alias("p"), F.max("p").alias("q"))
+        if not given.where("p <> q").isEmpty() or not every.join(given, ["r", "s"], "left_anti").isEmpty():
+            raise ValueError("chances must be a symmetric matrix over all blocks")
+        cells = every.join(given.drop("q"), ["r", "s"])
+    return _drawn(blocks, cells.select("r", "s", "n", "p", "kr", "ks"), seed)
+
+
+def expected_counts(chances: DataFrame, size: DataFrame) -> DataFrame:
+    """(r, s, m) with r <= s: round(p n), half to even, cells of 0 left out."""
+    return with_pairs(chances.where("r <= s"), size).select("r", "s", F.bround(F.col("p") * F.col("n")).cast("long").alias("m")).where("m > 0")
 
 
 def homogeneous_sigma(blocks: int, eps: float, delta: float, tail: float, sensitivity: float) -> float:

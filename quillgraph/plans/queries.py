@@ -1,6 +1,7 @@
 """Registered queries of the graph operators over the driver's tables, and the same in SQL.
 
-Graphs: parts that share a returned order line ("R"); the sparse graph keeps quantities of 30 and more. Blocks: part brands.
+Graphs: `e`, parts that share an order; `er`, the second graph of comparisons, parts that share an order by returned lines ("R"); `e2`, a sparse
+graph, returned lines of 30 pieces and more. Blocks: part brands; `fine` blocks of FINE parts each, of which many pairs have no edge.
 """
 
 from __future__ import annotations
@@ -15,24 +16,35 @@ from ..operators import blocks as B
 from ..operators import chain as C
 from ..operators import community as Q
 from ..operators import graph as G
+from ..operators import metrics as M
+from ..operators import model as D
 from ..operators import noise as N
 from ..operators import partition as P
 from ..operators import spectral as E
+from ..sources import config as S
 from ..sources.graphs import co_purchase, keep_first, part_blocks, part_nodes
 from ..streaming.events import windowed_counts
 from .session import cut
 
-EPS, DELTA, ALPHA, SENSITIVITY, SEED, K = 1.0, 1e-6, 0.999, 6, 42, 75
+EPS, DELTA, ALPHA, SENSITIVITY, SEED, K, FINE = 1.0, 1e-6, 0.999, 6, 42, 75, 7
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Views every oracle query may use.
-PRELUDE = f"""with recursive li as (select l_orderkey as o, l_partkey as p, l_quantity as q from lineitem where l_returnflag = 'R'),
+_GRAPHS = """with recursive li as (select l_orderkey as o, l_partkey as p, l_quantity as q, l_returnflag = 'R' as ret from lineitem),
 e as (select distinct a.p as src, b.p as dst from li a join li b on a.o = b.o and a.p < b.p),
-e2 as (select distinct a.p as src, b.p as dst from li a join li b on a.o = b.o and a.p < b.p where a.q >= 30 and b.q >= 30),
+er as (select distinct a.p as src, b.p as dst from li a join li b on a.o = b.o and a.p < b.p where a.ret and b.ret),
+e2 as (select distinct a.p as src, b.p as dst from li a join li b on a.o = b.o and a.p < b.p where a.ret and b.ret and a.q >= 30 and b.q >= 30),
+symr as (select src as u, dst as v from er union all select dst, src from er),
+degr as (select n.v, count(s.u) as degree from (select p_partkey as v from part) n left join symr s on s.v = n.v group by 1),
+"""
+
+_BRANDS = "blk as (select p_partkey as v, dense_rank() over (order by p_brand) - 1 as blk from part),"
+_CHUNKS = f"blk as (select p_partkey as v, least(p_partkey // {FINE}, (select count(*) from part) // {FINE} - 1) as blk from part),"
+
+_REST = f"""
 nodes as (select p_partkey as v from part),
-blk as (select p_partkey as v, dense_rank() over (order by p_brand) - 1 as blk from part),
 sizes as (select blk, count(*) as k from blk group by 1),
 lab as (select src, dst, x.blk as bs, y.blk as bd from e join blk x on x.v = src join blk y on y.v = dst),
 conn as (select least(bs, bd) as r, greatest(bs, bd) as s, count(*) as m from lab group by 1, 2),
@@ -54,6 +66,8 @@ total as (select (select sum(sqrt(w)) from wn) + (select sum(sqrt({float(SENSITI
 sig as (select r, s, n, sqrt(sqrt({float(SENSITIVITY**2)!r} * w) * {(2 * gaussian_constant(EPS, DELTA)) ** 2!r} / t) as sigma from we, total)
 """
 
+PRELUDE, FINE_PRELUDE = _GRAPHS + _BRANDS + _REST, _GRAPHS + _CHUNKS + _REST
+
 
 def _u(seed: int, *key: str) -> str:
     return f"((('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(key)})), 1, 8))::bigint + 0.5) / 4294967296.0)"
@@ -68,11 +82,11 @@ def _ll(e: str, n: str, sign: str = "-") -> str:
     return f"case when {n} > 0 then ({e}) * ln({p}) {sign} ({n} - ({e})) * ln(1 - {p}) else 0 end"
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, prelude: str = PRELUDE):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = PRELUDE + sql
+            ORACLE_SQL[f.__name__] = prelude + sql
         return f
 
     return add
@@ -82,11 +96,25 @@ def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return co_purchase(spark, d), part_nodes(spark, d), part_blocks(spark, d)
 
 
+def _second(spark: SparkSession, d: str) -> DataFrame:
+    return co_purchase(spark, d, "R")
+
+
+def _pair(spark: SparkSession, d: str) -> tuple[M.Graph, M.Graph]:
+    n = part_nodes(spark, d)
+    return (cut(co_purchase(spark, d)), n), (cut(_second(spark, d)), n)
+
+
 def _stats(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e, _, b = _parts(spark, d)
     return B.connectivity(e, b), B.sizes(b)
 
 
+def _fine(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    b = B.uniform_blocks(part_nodes(spark, d), FINE)
+    return cut(B.connectivity(co_purchase(spark, d), b)), cut(B.sizes(b))
+
+
 def _moves(e: DataFrame, b: DataFrame) -> DataFrame:
     """Every cross-block edge as a swap; the id is made of the pair, so no global order is needed."""
     return B.cross_edges(e, b).select((F.col("i") * 4294967296 + F.col("j")).alias("move_id"), "i", "a", "j", "b")
@@ -141,9 +169,9 @@ def possible_pairs(spark, d):
     return B.possible_pairs(_stats(spark, d)[1])
 
 
-@query("select r, s, n from zero")
+@query("select r, s, n from zero", FINE_PRELUDE)
 def zero_pairs(spark, d):
-    return B.zero_pairs(*_stats(spark, d))
+    return B.zero_pairs(*_fine(spark, d))
 
 
 @query("select r, s, round(p, 10) as p from prob")
@@ -254,9 +282,9 @@ def twin_leaf_candidates(spark, d):
 _TRI = """, tri as (select a.src as x, a.dst as y, b.dst as z from e a join e b on a.dst = b.src join e c on c.src = a.src and c.dst = b.dst
 ), tv as (select v, count(*) as t from (select x as v from tri union all select y from tri union all select z from tri) group by 1
 ), cl as (select v, case when degree < 2 then 0.0 else 2.0 * coalesce(t, 0) / (degree * (degree - 1)) end::double as clustering from deg left join tv using (v)
-), tri2 as (select a.src as x, a.dst as y, b.dst as z from e2 a join e2 b on a.dst = b.src join e2 c on c.src = a.src and c.dst = b.dst
+), tri2 as (select a.src as x, a.dst as y, b.dst as z from er a join er b on a.dst = b.src join er c on c.src = a.src and c.dst = b.dst
 ), tv2 as (select v, count(*) as t from (select x as v from tri2 union all select y from tri2 union all select z from tri2) group by 1
-), cl2 as (select v, case when degree < 2 then 0.0 else 2.0 * coalesce(t, 0) / (degree * (degree - 1)) end::double as clustering from deg2 left join tv2 using (v)) """
+), cl2 as (select v, case when degree < 2 then 0.0 else 2.0 * coalesce(t, 0) / (degree * (degree - 1)) end::double as clustering from degr left join tv2 using (v)) """
 
 
 @query(_TRI + "select v, round(clustering, 8) as clustering from cl")
@@ -268,14 +296,14 @@ def local_clustering(spark, d):
 @query(_TRI + "select round(abs((select avg(clustering) from cl) - (select avg(clustering) from cl2)), 8) as difference")
 def avg_clustering_diff(spark, d):
     e, n, _ = _parts(spark, d)
-    a, b = (G.local_clustering(cut(x), n).agg(F.avg("clustering").alias("c")) for x in (e, co_purchase(spark, d, "R", 30)))
+    a, b = (G.local_clustering(cut(x), n).agg(F.avg("clustering").alias("c")) for x in (e, _second(spark, d)))
     return a.crossJoin(b.withColumnRenamed("c", "c2")).select(F.round(F.abs(F.col("c") - F.col("c2")), 8).alias("difference"))
 
 
-@query("select round(abs((select corr(x.degree, y.degree) from sym s join deg x on x.v = s.u join deg y on y.v = s.v) - (select corr(x.degree, y.degree) from sym2 s join deg2 x on x.v = s.u join deg2 y on y.v = s.v)), 8) as difference")
+@query("select round(abs((select corr(x.degree, y.degree) from sym s join deg x on x.v = s.u join deg y on y.v = s.v) - (select corr(x.degree, y.degree) from symr s join degr x on x.v = s.u join degr y on y.v = s.v)), 8) as difference")
 def assortativity_diff(spark, d):
     e, n, _ = _parts(spark, d)
-    a, b = (G.assortativity(x, n) for x in (e, co_purchase(spark, d, "R", 30)))
+    a, b = (G.assortativity(x, n) for x in (e, _second(spark, d)))
     return a.crossJoin(b.withColumnRenamed("assortativity", "other")).select(F.round(F.abs(F.col("assortativity") - F.col("other")), 8).alias("difference"))
 
 
@@ -288,17 +316,17 @@ def _hist(t: str) -> str:
     return f"select coalesce(c, 0)::double / (select count(*) from {t}) as x from (select unnest(range(0, (select max(degree) from {t}) + 1)) as g) left join (select degree, count(*) as c from {t} group by 1) on g = degree"
 
 
-@query(_emd(_hist("deg"), _hist("deg2")))
+@query(_emd(_hist("deg"), _hist("degr")))
 def degree_ref_emd(spark, d):
     e, n, _ = _parts(spark, d)
-    a, b = (G.degree_histogram(G.degrees(x, n)).select(F.col("frequency").alias("x")) for x in (e, co_purchase(spark, d, "R", 30)))
+    a, b = (G.degree_histogram(G.degrees(x, n)).select(F.col("frequency").alias("x")) for x in (e, _second(spark, d)))
     return G.wasserstein(a, b).select(F.round("emd", 8).alias("emd"))
 
 
-@query(_emd("select degree as x from deg", "select degree as x from deg2"))
+@query(_emd("select degree as x from deg", "select degree as x from degr"))
 def degree_emd(spark, d):
     e, n, _ = _parts(spark, d)
-    a, b = (G.degrees(x, n).select(F.col("degree").alias("x")) for x in (e, co_purchase(spark, d, "R", 30)))
+    a, b = (G.degrees(x, n).select(F.col("degree").alias("x")) for x in (e, _second(spark, d)))
     return G.wasserstein(a, b).select(F.round("emd", 8).alias("emd"))
 
 
@@ -330,35 +358,61 @@ def lcc_edges(spark, d):
     return G.within(e, G.largest_component(G.components(e, part_nodes(spark, d))))
 
 
-_BFS = """, walk(s, v, d) as (select v, v, 0 from nodes union select w.s, y.v, w.d + 1 from walk w join sym y on y.u = w.v where w.d < 4), dist as (select s, v, cast(min(d) as bigint) as d from walk group by 1, 2) """
+def _walk(name: str, sym: str, of: str) -> str:
+    """All shortest distances from the nodes `of`, level by level; a pair once reached is not reached again."""
+    return f"""{name}(s, v, d) using key (s, v) as (select v, v, 0 from {of} union select w.s, y.v, min(w.d) + 1 from {name} w join {sym} y on y.u = w.v
+ where not exists (select 1 from recurring.{name} r where r.s = w.s and r.v = y.v) group by 1, 2)"""
+
+
+_BFS = ", " + _walk("dist", "sym2", "nodes")
 
 
-@query(_BFS + "select s, v, d from dist")
+@query(_BFS + " select s, v, cast(d as bigint) as d from dist")
 def bfs_distances(spark, d):
-    e, n, _ = _parts(spark, d)
-    return G.bfs(e, n, 4)
+    return G.distances(co_purchase(spark, d, "R", 30), part_nodes(spark, d))
 
 
-@query(_BFS + "select round(avg(d), 8) as mean_distance from dist where d > 0")
+@query(_BFS + " select round(avg(d), 8) as mean_distance from dist where d > 0")
 def avg_path_length(spark, d):
-    e, n, _ = _parts(spark, d)
-    return G.bfs(e, n, 4).where("d > 0").agg(F.round(F.avg("d"), 8).alias("mean_distance"))
+    return G.path_lengths(co_purchase(spark, d, "R", 30), part_nodes(spark, d), None, lcc=False).agg(F.round(F.avg("x"), 8).alias("mean_distance"))
+
+
+def _lcc(name: str, sym: str) -> str:
+    return f"""{name}_reach(node, root) using key (node) as (select v, v from nodes union select y.v, min(r.root) from {name}_reach r join {sym} y on y.u = r.node join recurring.{name}_reach o on o.node = y.v where r.root < o.root group by 1
+), {name} as (select node as v from {name}_reach where root = (select root from {name}_reach group by 1 order by count(*) desc, root limit 1)), {name}_sym as (select u, v from {sym} where u in (select v from {name}))"""
+
+
+_BOTH_PATHS = ", " + ", ".join((_lcc("la", "sym"), _lcc("lb", "symr"), _walk("da", "la_sym", "la"), _walk("db", "lb_sym", "lb")))
 
 
-@query(_BFS.rstrip() + ", walk2(s, v, d) as (select v, v, 0 from nodes union select w.s, y.v, w.d + 1 from walk2 w join sym2 y on y.u = w.v where w.d < 4), dist2 as (select s, v, min(d) as d from walk2 group by 1, 2)" + _emd("select d as x from dist where d > 0", "select d as x from dist2 where d > 0"))
+@query(_BOTH_PATHS + " select round(abs((select avg(d) from da where d > 0) - (select avg(d) from db where d > 0)), 8) as difference")
+def avg_path_length_diff(spark, d):
+    """Up to 2,000 nodes all pairs of the largest components count, as in the SQL; beyond, 10,000 drawn pairs."""
+    return M.avg_path_length(*_pair(spark, d)).select(F.round("difference", 8).alias("difference"))
+
+
+@query(_BOTH_PATHS + _emd("select d as x from da where d > 0", "select d as x from db where d > 0"))
 def path_emd(spark, d):
-    e, n, _ = _parts(spark, d)
-    a, b = (G.bfs(x, n, 4).where("d > 0").select(F.col("d").alias("x")) for x in (e, co_purchase(spark, d, "R", 30)))
-    return G.wasserstein(a, b).select(F.round("emd", 8).alias("emd"))
+    return M.shortest_path(*_pair(spark, d)).select(F.round("emd", 8).alias("emd"))
+
+
+def _drawn(cells: str) -> str:
+    """Pairs of nodes at the places drawn in cells (r, s, n, p, kr, ks), stretch by stretch, gaps by hash."""
+    return f""", c0 as (select r, s, n, p::double as p, ks, greatest(1, ceil(n * p::double / {N.STRETCH}))::bigint as c from ({cells}) where n > 0 and p > 0
+), c1 as (select *, ceil(n::double / c)::bigint as l, unnest(range(0, c)) as i from c0), c2 as (select *, least(l, n - i * l) as w from c1), c3 as (select *, least(w, ceil(w * p + 10 * sqrt(w * p) + 40)::bigint) as k from c2 where w > 0
+), c4 as (select *, unnest(range(1, k + 1)) as d from c3), c5 as (select r, s, ks, w, i * l + sum(least(case when p >= 1 then 0 else floor(ln({_u(SEED, 'r', 's', 'i', 'd')}) / ln(1 - p)) end, w) + 1) over (partition by r, s, i order by d) - 1 as pl, sum(least(case when p >= 1 then 0 else floor(ln({_u(SEED, 'r', 's', 'i', 'd')}) / ln(1 - p)) end, w) + 1) over (partition by r, s, i order by d) - 1 as own from c4
+), c6 as (select r, s, ks, cast(pl as bigint) as pl, cast(floor((1 + sqrt(1 + 8 * pl)) / 2) as bigint) as t from c5 where own < w), c7 as (select r, s, ks, pl, case when t * (t - 1) / 2 > pl then t - 1 when t * (t + 1) / 2 <= pl then t + 1 else t end as t from c6
+), num as (select v, blk, row_number() over (partition by blk order by v) - 1 as n from blk)
+select least(x.v, y.v) as src, greatest(x.v, y.v) as dst from (select r, s, case when r = s then t else pl // ks end as i, case when r = s then pl - cast(t * (t - 1) / 2 as bigint) else pl % ks end as j from c7) join num x on x.blk = r and x.n = i join num y on y.blk = s and y.n = j"""
 
 
-@query(f"select least(x.v, y.v) as src, greatest(x.v, y.v) as dst from full_conn c join blk x on x.blk = c.r join blk y on y.blk = c.s where (c.r <> c.s or x.v < y.v) and {_u(SEED, 'least(x.v, y.v)', 'greatest(x.v, y.v)')} < m::double / n")
+@query(_drawn("select r, s, n, m::double / n as p, ks from full_conn"))
 def sbm_sample(spark, d):
     e, _, b = _parts(spark, d)
     return N.sample_graph(b, B.connectivity(e, b), SEED)
 
 
-@query(f"select least(x.v, y.v) as src, greatest(x.v, y.v) as dst from pairs c join blk x on x.blk = c.r join blk y on y.blk = c.s where (c.r <> c.s or x.v < y.v) and {_u(SEED, 'least(x.v, y.v)', 'greatest(x.v, y.v)')} < case when c.r = c.s then 0.05 else 0.002 end")
+@query(_drawn("select r, s, n, case when r = s then 0.05 else 0.002 end as p, ks from pairs"))
 def planted_sample(spark, d):
     return N.planted_partition(part_blocks(spark, d), 0.05, 0.002, SEED)
 
@@ -381,32 +435,52 @@ def block_size_weights(spark, d):
 
 
 def _sigma(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    c, k = _stats(spark, d)
-    c = cut(c)
+    c, k = _fine(spark, d)
     return c, k, N.sigmas(c, k, EPS, DELTA, SENSITIVITY)[1]
 
 
-@query("select r, s, round(sigma, 6) as sigma from sig")
+_FACTOR = (2 * gaussian_constant(EPS, DELTA)) ** 2
+
+
+def _lifted(full: str, lam: float) -> str:
+    """Zero pairs that noise lifts: (r, s, m)."""
+    return f"""select r, s, cast(least(f, round_even(greatest(z - {lam!r} * sg, 0), 0)) as bigint) as m from (select r, s, f, sg, sg * {_z(SEED + 20, 'r', 's')} as z
+ from (select r, s, f, sqrt(sqrt({float(SENSITIVITY**2)!r} / f) * {_FACTOR!r} / t) as sg from (select r, s, {full} as f from zero where n > 0), total where f > 0)) where z >= 0.5 and round_even(greatest(z - {lam!r} * sg, 0), 0) > 0"""
+
+
+_FULL = f"case when r = s then {FINE * (FINE - 1) // 2} else {FINE * FINE} end"
+
+
+@query("select r, s, round(sigma, 6) as sigma from sig", FINE_PRELUDE)
 def sigmas(spark, d):
     return _sigma(spark, d)[2].select("r", "s", F.round("sigma", 6).alias("sigma"))
 
 
-@query(f"select r, s, round(m + sigma * {_z(SEED, 'r', 's')}, 5) as x from conn join sig using (r, s)")
+@query(f"select r, s, round(m + sigma * {_z(SEED, 'r', 's')}, 5) as x from conn join sig using (r, s)", FINE_PRELUDE)
 def noisy_counts(spark, d):
     c, _, s = _sigma(spark, d)
     return N.noisy_counts(c, s, SEED).select("r", "s", F.round("x", 5).alias("x"))
 
 
-@query(f"select r, s, cast(least(case when r = s then {K * (K - 1) // 2} else {K * K} end, trunc(greatest(0, m + sigma * {_z(SEED, 'r', 's')} + sigma * {_z(SEED + 10, 'r', 's')}))) as bigint) as m from conn join sig using (r, s)")
+@query(f"select r, s, cast(least({_FULL}, trunc(greatest(0, m + sigma * {_z(SEED, 'r', 's')} + sigma * {_z(SEED + 10, 'r', 's')}))) as bigint) as m from conn join sig using (r, s) union all " + _lifted(_FULL, 0.0), FINE_PRELUDE)
 def naive_clamp(spark, d):
     c, k, s = _sigma(spark, d)
-    return N.naive_clamp(N.noisy_counts(c, s, SEED), s, k, K, SEED)
+    lifted = N.noisy_zero_pairs(c, k, _FACTOR / F.col("total"), SENSITIVITY, FINE, SEED)
+    return N.naive_clamp(N.noisy_counts(c, s, SEED), s, k, FINE, SEED).union(lifted)
 
 
-@query(f", x as (select r, s, sigma, m + sigma * {_z(SEED, 'r', 's')} as x from conn join sig using (r, s)) select r, s, cast(least(case when r = s then {K * (K - 1) // 2} else {K * K} end, greatest(0, round_even(sign(x) * greatest(abs(x) - {activation_threshold()!r} * sigma, 0), 0))) as bigint) as m from x")
+@query(f", x as (select r, s, sigma, m + sigma * {_z(SEED, 'r', 's')} as x from conn join sig using (r, s)) select r, s, cast(least({_FULL}, greatest(0, round_even(sign(x) * greatest(abs(x) - {activation_threshold()!r} * sigma, 0), 0))) as bigint) as m from x union all " + _lifted(_FULL, activation_threshold()), FINE_PRELUDE)
 def lasso_post(spark, d):
-    c, _, s = _sigma(spark, d)
-    return N.lasso(N.noisy_counts(c, s, SEED), s, K)
+    c, k, s = _sigma(spark, d)
+    lifted = N.noisy_zero_pairs(c, k, _FACTOR / F.col("total"), SENSITIVITY, FINE, SEED, activation_threshold())
+    return N.lasso(N.noisy_counts(c, s, SEED), s, FINE).union(lifted)
+
+
+@query(f"select r, s, round(sqrt(sqrt({float(SENSITIVITY**2)!r} / n) * {_FACTOR!r} / t), 6) as sigma from zero, total where n > 0", FINE_PRELUDE)
+def zero_pair_sigmas(spark, d):
+    c, k = _fine(spark, d)
+    z = B.zero_pairs(c, k).where("n > 0").crossJoin(F.broadcast(N.normaliser(c, k, SENSITIVITY)))
+    return z.select("r", "s", F.round(F.sqrt(F.sqrt(F.lit(float(SENSITIVITY**2)) / F.col("n")) * _FACTOR / F.col("total")), 6).alias("sigma"))
 
 
 _DOT = "select list_dot_product(a.embedding::double[], b.embedding::double[]) as x from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.label {} 5"
@@ -507,10 +581,10 @@ def prefix_offsets(spark, d):
     return _stats(spark, d)[1].select("blk", "k", (F.sum("k").over(Window.orderBy("blk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")).alias("first_node"))
 
 
-_CHANCES = {"uniform_swap": 0.25, "edge_swap": 0.45, "triadic_swap": 0.3}
+_CHANCES = {"uniform_swap": 0.25, "edge_based_swap": 0.45, "triadic_swap": 0.3}
 
 
-@query(f"select cast(i as bigint) as i, case when {_u(SEED, 'i')} < 0.25 then 'uniform_swap' when {_u(SEED, 'i')} < 0.7 then 'edge_swap' else 'triadic_swap' end as move_type from (select unnest(range(0, 5000)) as i)")
+@query(f"select cast(i as bigint) as i, case when {_u(SEED, 'i')} < 0.25 then 'uniform_swap' when {_u(SEED, 'i')} < 0.7 then 'edge_based_swap' else 'triadic_swap' end as move_type from (select unnest(range(0, 5000)) as i)")
 def move_type_choice(spark, d):
     return spark.range(5000).select(F.col("id").alias("i")).select("i", C.move_type(u01(SEED, "i"), _CHANCES).alias("move_type"))
 
@@ -615,3 +689,147 @@ def communities(spark, d):
 @query("select time_bucket(interval 1 hour, ts::timestamp) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def windowed_event_counts(spark, d):
     return windowed_counts(spark.read.parquet(f"{d}/events.parquet")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(_TRACE + "select chain, iteration, val from (select *, max(iteration) over (partition by chain) as top from tr) where iteration > top - 500")
+def ring_buffer(spark, d):
+    return C.last_draws(_trace(spark, d).select("chain", "iteration", "val"), 500)
+
+
+@query()
+def chain_diagnostics(spark, d):
+    """R-hat and the smallest effective sample size of two statistics of four chains; draws are numbered inside their chain."""
+    t = _trace(spark, d).withColumn("iteration", F.row_number().over(Window.partitionBy("chain").orderBy("iteration")))
+    rows = t.select("chain", "iteration", F.lit("value").alias("stat"), "val").union(t.select("chain", "iteration", F.lit("accepted"), F.col("accepted").cast("double")))
+    return C.diagnostics(rows, 100).select("stat", F.round("rhat", 8).alias("rhat"), F.round("ess", 6).alias("ess"))
+
+
+@query("select move_id, least(a, b) as r, greatest(a, b) as s, arg_max(de, seq * 1000 + de) as de from (select l_orderkey % 50 as move_id, l_orderkey * 10 + l_linenumber as seq, l_partkey % 25 as a, l_suppkey % 25 as b, cast(l_quantity as bigint) as de from lineitem) group by 1, 2, 3")
+def overwritten_deltas(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    x = li.select((F.col("l_orderkey") % 50).alias("move_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_partkey") % 25).alias("r"), (F.col("l_suppkey") % 25).alias("s"), F.col("l_quantity").cast("long").alias("de"))
+    return B.overwritten(x)
+
+
+@query("select sizes.blk, coalesce(m, 0) as m from sizes left join (select r as blk, m from conn where r = s) using (blk)", FINE_PRELUDE)
+def diagonal_counts(spark, d):
+    return B.diagonal_counts(*_fine(spark, d))
+
+
+@query(f", panel as (select x.blk as r, y.blk as s, coalesce(c.m, 0) as m from sizes x join sizes y on x.blk < y.blk left join conn c on c.r = x.blk and c.s = y.blk order by case when c.m > 0 then 0 else 1 end, {_u(SEED, 'x.blk', 'y.blk')}, 1, 2 limit least(40, 2 * (select count(*) from sizes))) select r, s, m from panel")
+def panel_counts(spark, d):
+    c, k = _stats(spark, d)
+    c = cut(c)
+    return B.counts_for_pairs(c, C.panel(c, k, 40, SEED))
+
+
+@query("select r - (r > 3)::bigint as r, s - (s > 3)::bigint as s, m from conn where r <> 3 and s <> 3")
+def removed_block_counts(spark, d):
+    c, k = _stats(spark, d)
+    return B.remove_block(k, c, 3)[1]
+
+
+@query("select blk, k from sizes union all select max(blk) + 1, 0 from sizes")
+def added_block_sizes(spark, d):
+    b = part_blocks(spark, d)
+    return B.add_block(B.sizes(b), b)[0]
+
+
+@query("select r, s, round_even(case when r = s then 0.05 else 0.002 end::double * n, 0)::bigint as m from pairs where round_even(case when r = s then 0.05 else 0.002 end::double * n, 0) > 0")
+def expected_counts(spark, d):
+    k = _stats(spark, d)[1]
+    chances = B.possible_pairs(k).select("r", "s", F.when(F.col("r") == F.col("s"), 0.05).otherwise(0.002).alias("p"))
+    return N.expected_counts(chances, k)
+
+
+@query(_DELTA + f"select move_id, round(least(1.0, exp(-{EPS!r} * round(delta_nll, 4) / {2.0 * SENSITIVITY!r})), 6) as chance from scored")
+def private_acceptance(spark, d):
+    e, _, b = _parts(spark, d)
+    e = cut(e)
+    s = B.swap_delta_nll(B.swap_delta(_moves(e, b), e, b), cut(B.connectivity(e, b)), B.sizes(b))
+    return s.select("move_id", F.round(N.private_acceptance(F.round("delta_nll", 4), EPS, SENSITIVITY), 6).alias("chance"))
+
+
+def _tries(trials: int, count: int) -> str:
+    return f""", dr as (select id // {trials} as move_id, id % {trials} as t, y.u as i, p.blk as a, y.v as j, q.blk as b from (select unnest(range(0, {trials * count})) as id) x
+ join (select v, row_number() over (order by v) - 1 as rk from blk) n on n.rk = floor({_u(SEED, 'id')} * (select count(*) from blk))::bigint join deg on deg.v = n.v
+ join (select u, v, row_number() over (partition by u order by v) - 1 as ix from sym) y on y.u = n.v and y.ix = floor({_u(SEED + 1, 'id')} * degree)::bigint
+ join blk p on p.v = y.u join blk q on q.v = y.v where degree > 0 and p.blk <> q.blk) """
+
+
+_MOVES = "select cast(move_id as bigint) as move_id, x.i as i, x.a as a, x.j as j, x.b as b from (select move_id, arg_min({'i': i, 'a': a, 'j': j, 'b': b}, t) as x from found group by 1)"
+
+
+@query(_tries(256, 100) + ", found as (select dr.* from dr join nb on nb.v = j and nb.blk = a where n > 1) " + _MOVES)
+def cross_triangle_swaps(spark, d):
+    e, _, b = _parts(spark, d)
+    return C.cross_triangle_swaps(cut(e), b, 100, SEED, fill=False)
+
+
+@query(_tries(128, 100) + f""", touch as (select nb.blk as a, blk.blk as b, nb.v as l, row_number() over (partition by nb.blk, blk.blk order by {_u(SEED + 2, 'nb.v')}, nb.v) - 1 as ix, count(*) over (partition by nb.blk, blk.blk) as n from nb join blk on blk.v = nb.v where nb.blk <> blk.blk
+), pk as (select dr.move_id, dr.t, dr.i, dr.a, dr.b, w.ix as own, floor({_u(SEED + 3, 'dr.move_id', 'dr.t')} * (w.n - 1))::bigint as ix from dr join touch w on w.a = dr.a and w.b = dr.b and w.l = dr.j where w.n > 1
+), found as (select pk.move_id, pk.t, pk.i, pk.a, pk.b, w.l as j from pk join touch w on w.a = pk.a and w.b = pk.b and w.ix = case when pk.ix >= own then pk.ix + 1 else pk.ix end) """ + _MOVES)
+def triadic_swaps(spark, d):
+    e, _, b = _parts(spark, d)
+    return C.triadic_swaps(cut(e), b, 100, SEED, fill=False)
+
+
+_SIX = f"""{_TRI}{_BOTH_PATHS}, hd as ({_hist('deg')}), hr as ({_hist('degr')})
+, h1 as (select x, sum(p) as p, sum(q) as q from (select x, 1 as p, 0 as q from hd union all select x, 0, 1 from hr) group by 1), w1 as (select sum(p) over (order by x)::double / sum(p) over () as f, sum(q) over (order by x)::double / sum(q) over () as g, lead(x) over (order by x) - x as dx from h1)
+, h2 as (select x, sum(p) as p, sum(q) as q from (select d as x, 1 as p, 0 as q from da where d > 0 union all select d, 0, 1 from db where d > 0) group by 1), w2 as (select sum(p) over (order by x)::double / sum(p) over () as f, sum(q) over (order by x)::double / sum(q) over () as g, lead(x) over (order by x) - x as dx from h2)
+, c as (select abs((select avg(clustering) from cl) - (select avg(clustering) from cl2)) as d)
+select metric, round(value::double, 8) as value from (select 'shortest_path' as metric, (select sum(abs(f - g) * dx) from w2) as value
+ union all select 'avg_path_length', abs((select avg(d) from da where d > 0) - (select avg(d) from db where d > 0)) union all select 'degree', (select sum(abs(f - g) * dx) from w1) union all select 'clustering', d from c union all select 'avg_clustering', d from c
+ union all select 'assortativity', abs((select corr(x.degree, y.degree) from sym s join deg x on x.v = s.u join deg y on y.v = s.v) - (select corr(x.degree, y.degree) from symr s join degr x on x.v = s.u join degr y on y.v = s.v)))"""
+
+
+@query(_SIX)
+def registry_metrics(spark, d):
+    """The comparisons of the registry that SQL can say."""
+    names = ["shortest_path", "avg_path_length", "degree", "clustering", "avg_clustering", "assortativity"]
+    return M.compare_all(names, *_pair(spark, d)).select("metric", F.round("value", 8).alias("value"))
+
+
+@query()
+def registry_searches(spark, d):
+    """The comparisons that rest on iterations: leading eigenvalues, centrality, communities."""
+    return M.compare_all(["eigen_val", "eigen_centrality", "infomap", "leiden"], *_pair(spark, d))
+
+
+@query()
+def registry_embeddings(spark, d):
+    """20 walks of 80 nodes from each node; 16 dimensions."""
+    return M.compare_all(["embedding_node2vec", "embedding_prone"], *_pair(spark, d), **{n: {"dim": 16} for n in M.EMBEDDINGS})
+
+
+@query()
+def eigenvector_distance(spark, d):
+    return M.eigen_vec(*_pair(spark, d), k=4).select(F.col("distance"))
+
+
+@query()
+def brand_misclassification(spark, d):
+    truth = part_blocks(spark, d, "p_size")
+    return spark.createDataFrame([(B.misclassification(part_blocks(spark, d), truth),)], "rate double")
+
+
+@query()
+def released_counts(spark, d):
+    """A release of the fine blocks with calibrated noise, lasso-shrunk."""
+    c, k = _fine(spark, d)
+    return D.create_noise(D.Release(k, c), EPS, DELTA, ALPHA).draw(SEED, "lasso").conn
+
+
+@query()
+def directed_sample(spark, d):
+    """A directed surrogate: counts of ordered pairs of blocks."""
+    e, _, b = _parts(spark, d)
+    conn = B.labelled(e, b).groupBy(F.col("bs").alias("r"), F.col("bd").alias("s")).agg(F.count(F.lit(1)).alias("m"))
+    return N.sample_graph(b, conn, SEED, True)
+
+
+@query("select dataset, block_size, count(*) as n from (select 'sbm_fit_' || p_brand || '_min_block_size_' || p_size || '_patience_9.csv' as f, p_brand as dataset, cast(p_size as bigint) as block_size from part) where contains(f, 'patience') group by 1, 2")
+def files_by_name(spark, d):
+    f = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("sbm_fit_"), "p_brand", F.lit("_min_block_size_"), "p_size", F.lit("_patience_9.csv")).alias("file"))
+    x = S.named_with(f, "patience").select(S.dataset_in(F.col("file")).alias("dataset"), S.block_size_in(F.col("file")).alias("block_size"))
+    return x.groupBy("dataset", "block_size").agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -39,20 +40,26 @@ def edge_list(spark: SparkSession, path: str) -> DataFrame:
 
 @register(".mtx")
 def matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """Coordinate format; 1-based entries become 0-based; symmetric matrices get both directions. The size line is the first that is no comment."""
-    lines = spark.read.text(path)
-    head = lines.limit(1).first()
-    symmetric = head is not None and "symmetric" in head["value"].lower()
-    size = lines.where("not startswith(value, '%') and trim(value) <> ''").limit(1).first()
-    body = lines.where("not startswith(value, '%') and trim(value) <> ''").where(F.col("value") != F.lit(size["value"] if size else ""))
-    e = _pairs(body, r"\s+").select((F.col("src") - 1).alias("src"), (F.col("dst") - 1).alias("dst"))
-    e = e.union(e.where("src <> dst").select("dst", "src")) if symmetric else e
-    return e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
+    """Coordinate format; 1-based entries become 0-based; symmetric matrices get both directions (skew-symmetric ones with the sign turned).
+    Values are kept (1 in pattern files) and repeated entries add up. The size line is the first that is no comment."""
+    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = spark.read.text(path).select("value", place.alias("line"))
+    head = lines.orderBy("line").limit(1).first()
+    kind = head["value"].lower() if head is not None else ""
+    rows = lines.where("not startswith(value, '%') and trim(value) <> ''")
+    size = rows.agg(F.min("line")).first()[0]
+    parts = F.split(F.trim("value"), r"\s+")
+    value = F.lit(1.0) if "pattern" in kind else F.coalesce(F.try_element_at(parts, F.lit(3)).cast("double"), F.lit(1.0))
+    e = rows.where(F.col("line") != F.lit(size if size is not None else -1)).select((parts[0].cast("long") - 1).alias("src"), (parts[1].cast("long") - 1).alias("dst"), value.alias("w"))
+    if "symmetric" in kind:
+        turned = -F.col("w") if "skew" in kind else F.col("w")
+        e = e.union(e.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), turned.alias("w")))
+    return e.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
 @register(".npz")
 def sparse_archive(spark: SparkSession, path: str) -> DataFrame:
-    """A compressed sparse row matrix in a NumPy archive, read through Spark's binary source."""
+    """A compressed sparse row matrix in a NumPy archive, read through Spark's binary source; weights are doubles."""
 
     def rows(batches):
         for batch in batches:
@@ -60,41 +67,99 @@ def sparse_archive(spark: SparkSession, path: str) -> DataFrame:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     part = {n.removesuffix(".npy"): np.load(io.BytesIO(z.read(n)), allow_pickle=False) for n in z.namelist() if n.removesuffix(".npy") in ("data", "indices", "indptr")}
                 src = np.repeat(np.arange(len(part["indptr"]) - 1), np.diff(part["indptr"]))
-                yield pd.DataFrame({"src": src.astype("int64"), "dst": part["indices"].astype("int64"), "w": part["data"].astype("int64")})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "src long, dst long, w long")
+                yield pd.DataFrame({"src": src.astype("int64"), "dst": part["indices"].astype("int64"), "w": part["data"].astype("float64")})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "src long, dst long, w double")
+
+
+def _graphml(text: str) -> tuple[list[str], list[tuple[str, str, float]], bool]:
+    """Node names in order, edges by name, and whether edges are directed by default."""
+    root = ElementTree.fromstring(text)
+    own = lambda tag: [x for x in root.iter() if x.tag.rsplit("}", 1)[-1] == tag]
+    directed = any(g.get("edgedefault") == "directed" for g in own("graph"))
+    weights = {k.get("id") for k in own("key") if k.get("attr.name") == "weight"}
+    found = []
+    for e in own("edge"):
+        if e.get("source") is None or e.get("target") is None:
+            raise ValueError("an edge without source or target")
+        w = [float(x.text) for x in e if x.tag.rsplit("}", 1)[-1] == "data" and x.get("key") in weights and x.text]
+        found.append((e.get("source"), e.get("target"), w[0] if w else 1.0))
+    return [n.get("id") for n in own("node")], found, directed
+
+
+def _gml(text: str) -> tuple[list[str], list[tuple[str, str, float]], bool]:
+    words = re.findall(r'"[^"]*"|\[|\]|[^\s\[\]]+', re.sub(r"(?m)^\s*#.*$", "", text))
+    names, found, directed, stack = [], [], False, []
+    at = 0
+    while at < len(words):
+        word = words[at]
+        if word == "]":
+            kind, values = stack.pop()
+            if kind == "node":
+                names.append(values["id"])
+            elif kind == "edge":
+                if "source" not in values or "target" not in values:
+                    raise ValueError("an edge without source or target")
+                found.append((values["source"], values["target"], float(values.get("weight", values.get("value", 1)))))
+            at += 1
+        elif at + 1 < len(words) and words[at + 1] == "[":
+            stack.append((word, {}))
+            at += 2
+        else:
+            if at + 1 >= len(words):
+                raise ValueError("a key without a value")
+            if stack:
+                stack[-1][1].setdefault(word, words[at + 1].strip('"'))
+                directed |= word == "directed" and words[at + 1] == "1" and stack[-1][0] == "graph"
+            at += 2
+    return names, found, directed
 
 
 @register(".gml", ".graphml")
 def markup_graph(spark: SparkSession, path: str) -> DataFrame:
-    """Edges of GML or GraphML; without `directed` both directions are given."""
+    """Edges of GML or GraphML; without `directed` both directions are given. Names that are whole numbers (GraphML also n0, n1 ..) are the
+    ids; otherwise nodes are numbered in file order, those that only edges name after the others. An edge without an end is an error."""
 
     def rows(batches):
         for batch in batches:
             for text in batch["value"]:
-                if "<graphml" in text:
-                    found = [(m[1], m[2]) for tag in re.findall(r"<edge\b[^>]*>", text) if (m := re.search(r'source="n?(\d+)".*target="n?(\d+)"', tag))]
-                    directed = 'edgedefault="directed"' in text
-                else:
-                    found = [(m[1], m[2]) for m in re.finditer(r"edge\s*\[[^\]]*?source\s+(\d+)[^\]]*?target\s+(\d+)", text)]
-                    directed = bool(re.search(r"\bdirected\s+1\b", text))
-                e = [(int(a), int(b)) for a, b in found]
-                e += [] if directed else [(b, a) for a, b in e if a != b]
-                yield pd.DataFrame(e, columns=["src", "dst"]).assign(w=1).astype("int64")
-
-    return spark.read.text(path, wholetext=True).mapInPandas(rows, "src long, dst long, w long")
-
-
-def load(spark: SparkSession, path: str, directed: bool | None = None, force_undirected: bool = False) -> tuple[DataFrame, bool]:
-    """(edges, directed) by extension; undirected graphs come back canonical."""
+                names, found, directed = _graphml(text) if "<graphml" in text else _gml(text)
+                names = list(dict.fromkeys([*names, *(x for a, b, _ in found for x in (a, b))]))
+                plain = [re.fullmatch(r"n?(-?\d+)", x) for x in names]
+                ids = {x: int(m[1]) for x, m in zip(names, plain)} if all(plain) else {}
+                if len(set(ids.values())) < len(names):
+                    ids = {x: i for i, x in enumerate(names)}
+                e = [(ids[a], ids[b], w) for a, b, w in found]
+                e += [] if directed else [(b, a, w) for a, b, w in e if a != b]
+                yield pd.DataFrame(e, columns=["src", "dst", "w"]).astype({"src": "int64", "dst": "int64", "w": "float64"})
+
+    return spark.read.text(path, wholetext=True).mapInPandas(rows, "src long, dst long, w double")
+
+
+def load(spark: SparkSession, path: str, directed: bool | None = None, force_undirected: bool = False, weights: bool = False) -> tuple[DataFrame, bool]:
+    """(edges, directed) by extension. Undirected graphs come back canonical and simple; with `weights` they keep their loops and the larger
+    weight w of both directions, src <= dst. Directed ones have weights always."""
     ext = "." + path.rsplit(".", 1)[-1].lower()
     if ext not in LOADERS:
         raise ValueError(f"no loader for {ext}")
     e = LOADERS[ext](spark, path)
     found = is_directed(e) if directed is None else directed
-    if force_undirected or not found:
+    if not force_undirected and found:
+        return e, True
+    if not weights:
         return canonical(e), False
-    return e, True
+    return e.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("w").alias("w")), False
+
+
+def from_networkx(spark: SparkSession, graph) -> tuple[DataFrame, DataFrame, bool]:
+    """(edges (src, dst, w), nodes (v), directed) of a graph object with nodes, edges(data=True) and is_directed(), such as NetworkX's. Nodes
+    are numbered in their order there; an undirected graph is canonical but for its loops."""
+    number = {x: i for i, x in enumerate(graph.nodes)}
+    directed = bool(graph.is_directed())
+    rows = [(number[a], number[b], float(x.get("weight", 1.0))) for a, b, x in graph.edges(data=True)]
+    if not directed:
+        rows = [(min(a, b), max(a, b), w) for a, b, w in rows]
+    return spark.createDataFrame(rows, "src long, dst long, w double"), spark.createDataFrame([(i,) for i in number.values()], "v long"), directed
 
 
 def is_directed(edges: DataFrame) -> bool:
@@ -116,14 +181,15 @@ def keep_first(raw: DataFrame, line: str = "line") -> DataFrame:
 
 
 def raw_lines(spark: SparkSession, path: str, skip: int = 0, separator: str = r"\s+") -> DataFrame:
-    """(line, u, v) of a delimited file; lines are numbered in file order, the first `skip` dropped."""
-    numbered = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    """(line, u, v) of a delimited file; `line` grows in file order, and the first `skip` lines are dropped. It is the first byte of the
+    line's split plus its place there, which a split's length bounds."""
+    numbered = spark.read.text(path).select("value", (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("line"))
     parts = F.split(F.trim("value"), separator)
     return numbered.where(F.col("line") >= skip).where("trim(value) <> '' and not startswith(value, '#')").select("line", parts[0].cast("long").alias("u"), parts[1].cast("long").alias("v")).where("u is not null and v is not null")
 
 
-def co_purchase(spark: SparkSession, sf_dir: str, flag: str | None = "R", min_quantity: float | None = None) -> DataFrame:
-    """Canonical edges between parts that share an order."""
+def co_purchase(spark: SparkSession, sf_dir: str, flag: str | None = None, min_quantity: float | None = None) -> DataFrame:
+    """Canonical edges between parts that share an order; with `flag` or `min_quantity`, in order lines with that returned flag or at least so many."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     if flag:
         li = li.where(F.col("l_returnflag") == flag)

@@ -12,7 +12,7 @@ from quillgraph.operators import graph as G
 from quillgraph.operators import noise as N
 from quillgraph.sources import graphs as S
 
-SQUARE = [(0, 1), (2, 3), (0, 2), (1, 3)]
+KITE = [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (4, 5), (1, 4)]
 
 
 def edges(spark, pairs):
@@ -35,12 +35,19 @@ def conn_of(pairs, of):
     return out
 
 
-def test_square(spark):
-    e, b = edges(spark, SQUARE), labels(spark, [0, 0, 1, 1])
-    conn = {(r["r"], r["s"]): r["m"] for r in B.connectivity(e, b).collect()}
-    assert conn == {(0, 0): 1, (1, 1): 1, (0, 1): 2}
-    moves = spark.createDataFrame([(1, 0, 0, 2, 1)], "move_id long, i long, a long, j long, b long")
-    assert {(r["r"], r["s"]): r["de"] for r in B.swap_delta(moves, e, b).collect()} == {(0, 0): -1, (1, 1): -1, (0, 1): 2}
+def test_kite(spark):
+    of = [0, 0, 1, 1, 2, 2]
+    e, b = edges(spark, KITE), labels(spark, of)
+    assert {(r["r"], r["s"]): r["m"] for r in B.connectivity(e, b).collect()} == conn_of(KITE, of)
+    moves = spark.createDataFrame([(1, 1, 0, 4, 2), (2, 2, 1, 5, 2)], "move_id long, i long, a long, j long, b long")
+    got = {(r["move_id"], r["r"], r["s"]): r["de"] for r in B.swap_delta(moves, e, b).collect()}
+    want = {}
+    for k, i, j in ((1, 1, 4), (2, 2, 5)):
+        new = list(of)
+        new[i], new[j] = of[j], of[i]
+        x, y = conn_of(KITE, of), conn_of(KITE, new)
+        want |= {(k, *c): y.get(c, 0) - x.get(c, 0) for c in x.keys() | y.keys() if y.get(c, 0) != x.get(c, 0)}
+    assert got == want
 
 
 def test_swap_delta_is_after_minus_before(spark):
@@ -97,9 +104,12 @@ def test_sampling_full_and_empty_blocks(spark):
 
 
 def test_lasso_keeps_bounds(spark):
-    noisy = spark.createDataFrame([(0, 0, -2.0), (0, 1, 10.0), (1, 1, 5.0)], "r long, s long, x double")
-    sig = spark.createDataFrame([(0, 0, 0.5), (0, 1, 0.5), (1, 1, 0.5)], "r long, s long, sigma double")
-    assert {(r["r"], r["s"]): r["m"] for r in N.lasso(noisy, sig, 3, 1.0).collect()} == {(0, 0): 0, (0, 1): 9, (1, 1): 3}
+    rng, lam, k = random.Random(3), 1.3, 7
+    rows = [(r, s, rng.uniform(-20, 80), rng.choice((0.0, 0.4, 6.5))) for r in range(6) for s in range(r, 6)]
+    noisy = spark.createDataFrame([x[:3] for x in rows], "r long, s long, x double")
+    sig = spark.createDataFrame([(*x[:2], x[3]) for x in rows], "r long, s long, sigma double")
+    want = {(r, s): min(k * (k - 1) // 2 if r == s else k * k, max(0, round(max(abs(x) - lam * g, 0) * (1 if x > 0 else -1)))) for r, s, x, g in rows}
+    assert {(r["r"], r["s"]): r["m"] for r in N.lasso(noisy, sig, k, lam).collect()} == want
 
 
 def test_binomial_quantile(spark):
