@@ -321,11 +321,13 @@ def in_blocks(rows: DataFrame) -> DataFrame:
 
 def partnered(rows: DataFrame, percent: int) -> DataFrame:
     """The (key, doc, n, pos) rows that have another row of their key with which near() holds. Only (n, pos) decides, so the distinct ones of
-    a list are counted and compared, not its rows."""
+    a list are compared, not its rows. A list of more than LIST_ROWS rows passes as it is: this only spares work later."""
 
     def work(t):
-        key, n, pos, count = (t.column(c).to_numpy() for c in ("key", "n", "pos", "rows"))
-        own = np.arange(len(key))
+        key, n, pos = (t.column(c).to_numpy() for c in ("key", "n", "pos"))
+        at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (n[1:] != n[:-1]) | (pos[1:] != pos[:-1])]))
+        count = np.diff(np.concatenate([at, [len(key)]]))
+        key, n, pos, own = key[at], n[at], pos[at], np.arange(len(at))
         keep, live, step = (count > 1) & near(n, pos, own, own, percent), own, 1
         while len(live):
             live = live[live + step < len(key)]
@@ -335,11 +337,33 @@ def partnered(rows: DataFrame, percent: int) -> DataFrame:
             keep[i[fit]] = keep[j[fit]] = True
             step += 1
         if keep.any():
-            yield from t.select(["key", "n", "pos"]).filter(pa.array(keep)).combine_chunks().to_batches()
+            yield from t.filter(pa.array(np.repeat(keep, count))).combine_chunks().to_batches()
 
-    kinds = rows.groupBy("key", "n", "pos").agg(F.count(F.lit(1)).alias("rows"))
-    kinds = kinds.repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key", "n", "pos")
-    return rows.join(kinds.mapInArrow(_by_list(work), "key long, n long, pos int"), ["key", "n", "pos"], "left_semi").select("key", "doc", "n", "pos")
+    def run(batches):
+        held, passing = [], None  # the rows of the last list, or the list that passes
+        for batch in batches:
+            if batch.num_rows and passing is not None:
+                same = int(np.searchsorted(batch.column("key").to_numpy(), passing, side="right"))
+                if same:
+                    yield batch.slice(0, same)
+                    batch = batch.slice(same)
+                passing = passing if not batch.num_rows else None
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            stop = int(np.searchsorted(key, key[-1]))
+            if stop or held and held[-1].column("key")[-1].as_py() != key[0]:
+                yield from work(pa.Table.from_batches([*held, batch.slice(0, stop)]).combine_chunks())
+                held = []
+            held.append(batch.slice(stop))
+            if sum(b.num_rows for b in held) > LIST_ROWS:
+                yield from held
+                held, passing = [], key[-1]
+        if held:
+            yield from work(pa.Table.from_batches(held).combine_chunks())
+
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key", "n", "pos")
+    return dealt.mapInArrow(run, "key long, doc long, n long, pos int")
 
 
 def _pairs_of(t, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -356,7 +380,7 @@ def candidate_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j]))], ["a", "b"])
 
-    return _sorted_by_key(in_blocks(rows.select("key", "doc", "n", "pos", "bits", "label"))).mapInArrow(_by_list(work), "a long, b long").where("a <> b").distinct()
+    return _sorted_by_key(rows.select("key", "doc", "n", "pos", "bits", "label")).mapInArrow(_by_list(work), "a long, b long").where("a <> b").distinct()
 
 
 def near_misses(rows: DataFrame, percent: int) -> DataFrame:
@@ -367,7 +391,7 @@ def near_misses(rows: DataFrame, percent: int) -> DataFrame:
         if len(i):
             yield from t.select(["key", "doc", "n", "pos"]).take(pa.array(np.unique(np.concatenate([i, j])))).combine_chunks().to_batches()
 
-    return _sorted_by_key(in_blocks(rows.select("key", "doc", "n", "pos", "bits", "label"))).mapInArrow(_by_list(work), "key long, doc long, n long, pos int")
+    return _sorted_by_key(rows.select("key", "doc", "n", "pos", "bits", "label")).mapInArrow(_by_list(work), "key long, doc long, n long, pos int")
 
 
 def class_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -428,6 +452,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     keys = made.select("doc", "n", F.size("firsts").alias("placed"), F.posexplode(F.concat("firsts", "subsets")).alias("at", "key"))
     rows = cut(partnered(keys.select("key", "doc", "n", F.when(F.col("at") < F.col("placed"), F.col("at")).otherwise(0).alias("pos")), percent))
     release(docs.sparkSession)
+    rows = in_blocks(rows)
+    release(docs.sparkSession)
     maps = made.select("doc", "bits")
     tried = cut(verified(candidate_pairs(rows.join(maps, "doc").withColumn("label", F.col("doc")), percent, True), docs, classes, k, percent))
     parts = cut(connected_components(tried.where("linked").select("a", "b")))
