@@ -145,38 +145,51 @@ def _packed(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | Non
     return ids, np.concatenate([[0], np.cumsum(np.bincount(u, minlength=len(ids)))]), w[by].astype(np.int32)
 
 
-def distances(edges: DataFrame, sources: DataFrame, cutoff: int | None = None) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, cutoff: int | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(s, v, d) as bfs(). Where the graph is small enough to broadcast (its size is measured), sources are dealt over tasks and each
-    searches by itself, one level of the whole frontier at a time; else the frontiers of all sources are joined."""
+    searches by itself, one level of the whole frontier at a time; else the frontiers of all sources are joined. With `targets` (s, v)
+    only those rows are given, each as often as it stands there."""
     packed = _packed(edges)
     if packed is None:
-        return bfs(edges, sources, cutoff)
+        found = bfs(edges, sources, cutoff)
+        return found if targets is None else targets.select("s", "v").join(found, ["s", "v"])
     spark = edges.sparkSession
     shared = spark.sparkContext.broadcast(packed)
 
     def run(batches):
         ids, offsets, to = shared.value
         for batch in batches:
-            for s in batch.column("v").to_pylist():
+            wanted = batch.column("to") if "to" in batch.schema.names else None
+            for i, s in enumerate(batch.column("v").to_pylist()):
                 at = int(np.searchsorted(ids, s))
-                if at == len(ids) or ids[at] != s:
-                    yield pa.RecordBatch.from_pydict({"s": pa.array([s], pa.int64()), "v": pa.array([s], pa.int64()), "d": pa.array([0], pa.int64())})
-                    continue
-                dist = np.full(len(ids), -1, np.int64)
-                dist[at], front, d = 0, np.array([at]), 0
-                while len(front) and (cutoff is None or d < cutoff):
-                    d += 1
-                    count = offsets[front + 1] - offsets[front]
-                    first = np.cumsum(count) - count
-                    near = to[np.arange(count.sum()) + np.repeat(offsets[front] - first, count)]
-                    near = near[dist[near] < 0]
-                    dist[near] = d
-                    front = np.unique(near)
-                seen = np.flatnonzero(dist >= 0)
-                yield pa.RecordBatch.from_pydict({"s": pa.array(np.full(len(seen), s)), "v": pa.array(ids[seen]), "d": pa.array(dist[seen])})
+                if at < len(ids) and ids[at] == s:
+                    dist = np.full(len(ids), -1, np.int64)
+                    dist[at], front, d = 0, np.array([at]), 0
+                    while len(front) and (cutoff is None or d < cutoff):
+                        d += 1
+                        count = offsets[front + 1] - offsets[front]
+                        first = np.cumsum(count) - count
+                        near = to[np.arange(count.sum()) + np.repeat(offsets[front] - first, count)]
+                        near = near[dist[near] < 0]
+                        dist[near] = d
+                        front = np.unique(near)
+                    seen = np.flatnonzero(dist >= 0)
+                    v, d = ids[seen], dist[seen]
+                else:
+                    v, d = np.array([s]), np.array([0])
+                if wanted is not None:
+                    t = np.array(wanted[i].as_py(), np.int64)
+                    place = np.minimum(np.searchsorted(v, t), len(v) - 1)
+                    t, place = t[v[place] == t], place[v[place] == t]
+                    v, d = t, d[place]
+                yield pa.RecordBatch.from_pydict({"s": pa.array(np.full(len(v), s, np.int64)), "v": pa.array(v.astype(np.int64)), "d": pa.array(d.astype(np.int64))})
 
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return sources.select(F.col("v").cast("long").alias("v")).repartition(parts).mapInArrow(run, "s long, v long, d long")
+    if targets is None:
+        rows = sources.select(F.col("v").cast("long").alias("v"))
+    else:
+        rows = targets.groupBy(F.col("s").cast("long").alias("v")).agg(F.collect_list(F.col("v").cast("long")).alias("to"))
+    return rows.repartition(parts).mapInArrow(run, "s long, v long, d long")
 
 
 def weighted_distances(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -226,5 +239,4 @@ def path_lengths(edges: DataFrame, nodes: DataFrame, samples: int | None = 10_00
     numbered = cut(ranked(nodes, "v").select("rank", "v"))
     pairs = draws.join(numbered.select(F.col("rank").alias("i"), F.col("v").alias("s")), "i").join(numbered.select(F.col("rank").alias("j"), "v"), "j").select("s", "v")
     pairs = cut(pairs)
-    found = distances(edges, pairs.select(F.col("s").alias("v")).distinct())
-    return pairs.join(found, ["s", "v"]).select(F.col("d").alias("x"))
+    return distances(edges, pairs.select(F.col("s").alias("v")).distinct(), None, pairs).select(F.col("d").alias("x"))
