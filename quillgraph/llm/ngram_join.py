@@ -7,7 +7,7 @@ between small and large is the size at which the estimated cost of both sides is
 boundary appear on both sides, so that no pair across it is lost.
 
 The global order puts members with few occurrences first. It comes from a counting sketch over every
-shingle of the corpus, one byte a cell (a logarithm) and as many cells as shingles between 2**20 and 2**24, so what is broadcast is
+shingle of the corpus, one byte a cell (a logarithm) and between 2**20 and 2**24 cells, one for some forty shingles, so what is broadcast is
 bounded by 16 MB. Any order gives the same links; this one keeps the lists short.
 
 What is joined are classes of rows with the same set. Lists longer than LIST_ROWS are cut into blocks by hash, and each pair of blocks
@@ -92,7 +92,7 @@ def count_sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Eight times the binary logarithm of the occurrences of all shingles by hash cell (0 for none), and how many texts have each set
     size up to 63 (then in 63)."""
     low, high = SKETCH_BITS
-    bits = min(high, max(low, int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0).bit_length() - 3))
+    bits = min(high, max(low, int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0).bit_length() - 8))
     pieces = 16
 
     def run(batches):
@@ -102,9 +102,8 @@ def count_sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                 h, at = _sets(b, k)
                 np.add.at(total, (h >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
                 sizes += np.bincount(np.minimum(np.diff(at), 63), minlength=64)
-        parts = [x.tobytes() for x in np.split(total, pieces)] + [sizes.tobytes()]
-        for i, x in enumerate(parts):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x], pa.binary())], ["piece", "counts"])
+        for i, x in enumerate([*np.split(total, pieces), sizes]):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["piece", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
