@@ -88,6 +88,17 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, s1 long, s2 long, items array<long>")
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """Counts by planes of their bytes, of which most are zero, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _whole_counts(packed: bytes, kind: type, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(packed, n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+
+
 def count_sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Eight times the binary logarithm of the occurrences of all shingles by hash cell (0 for none), and how many texts have each set
     size up to 63 (then in 63)."""
@@ -103,13 +114,13 @@ def count_sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                 np.add.at(total, (h >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
                 sizes += np.bincount(np.minimum(np.diff(at), 63), minlength=64)
         for i, x in enumerate([*np.split(total, pieces), sizes]):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["piece", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_squeezed(x)], pa.binary())], ["piece", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for p, c in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.frombuffer(c.as_py(), np.uint32 if p < pieces else np.int64)
+                x = _whole_counts(c.as_py(), np.uint32, (1 << bits) // pieces) if p < pieces else _whole_counts(c.as_py(), np.int64, 64)
                 sums[p] = sums[p] + x if p in sums else x.astype(np.int64)
         for p, x in sums.items():
             out = np.where(x > 0, np.minimum(1 + np.round(8 * np.log2(np.maximum(x, 1))), 255), 0).astype(np.uint8) if p < pieces else x
@@ -437,10 +448,11 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     sketch, sizes = count_sketch(docs, k)
     used = sketch[sketch > 0]
     boundary = size_boundary(sizes, float(2 ** ((np.quantile(used, 0.1) - 1) / 8)) if len(used) else 0.0, percent)
-    sig = cut(signatures(docs, k, percent, sketch, boundary))
-    full = sig.where("n > 0 and doc_id is not null")
     same = ["s1", "s2", "n"]
-    one = full.groupBy(*same).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("firsts", "subsets", "bits")))
+    # rows keep their sizes and hashes; members, subsets and bitmaps are kept once a class
+    sig = cut(shingle_sets(docs, k).select("doc_id", "s1", "s2", F.size("items").cast("long").alias("n")))
+    full = sig.where("n > 0 and doc_id is not null")
+    one = signatures(docs, k, percent, sketch, boundary).where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("firsts", "subsets", "bits")))
     made = cut(one.withColumn("doc", F.monotonically_increasing_id()))
     classes = made.select("doc", "rep", *same)
     release(docs.sparkSession)
