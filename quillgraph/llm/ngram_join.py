@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .spark_util import connected_components, cut, join_hot, release, shuffle_partitions, small_or_shuffled
+from .spark_util import connected_components, cut, drop, join_hot, release, shuffle_partitions, small_or_shuffled, stored
 
 #: Fewest and most cells of the sketch, as powers of two.
 SKETCH_BITS = (20, 24)
@@ -450,20 +450,18 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     boundary = size_boundary(sizes, float(2 ** ((np.quantile(used, 0.1) - 1) / 8)) if len(used) else 0.0, percent)
     same = ["s1", "s2", "n"]
     # rows keep their sizes and hashes; members, subsets and bitmaps are kept once a class
-    sig = cut(shingle_sets(docs, k).select("doc_id", "s1", "s2", F.size("items").cast("long").alias("n")))
+    sig = stored(shingle_sets(docs, k).select("doc_id", "s1", "s2", F.size("items").cast("long").alias("n")))
     full = sig.where("n > 0 and doc_id is not null")
     one = signatures(docs, k, percent, sketch, boundary).where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("firsts", "subsets", "bits")))
-    made = cut(one.withColumn("doc", F.monotonically_increasing_id()))
+    made = stored(one.withColumn("doc", F.monotonically_increasing_id()))
     classes = made.select("doc", "rep", *same)
-    release(docs.sparkSession)
     # classes that hold texts of one doc_id
     several = full.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("x"), F.max(F.struct(*same)).alias("y")).where("x <> y").select("doc_id")
     texts = full.join(small_or_shuffled(several), "doc_id", "left_semi").select("doc_id", *same).distinct().join(classes.drop("rep"), same)
     shared = cut(texts.join(texts.groupBy("doc_id").agg(F.min("doc").alias("a")), "doc_id").select("a", F.col("doc").alias("b")))
     keys = made.select("doc", "n", F.size("firsts").alias("placed"), F.posexplode(F.concat("firsts", "subsets")).alias("at", "key"))
-    rows = cut(partnered(keys.select("key", "doc", "n", F.when(F.col("at") < F.col("placed"), F.col("at")).otherwise(0).alias("pos")), percent))
-    release(docs.sparkSession)
-    rows = in_blocks(rows)
+    listed = stored(partnered(keys.select("key", "doc", "n", F.when(F.col("at") < F.col("placed"), F.col("at")).otherwise(0).alias("pos")), percent))
+    rows = in_blocks(listed)
     release(docs.sparkSession)
     maps = made.select("doc", "bits")
     tried = cut(verified(candidate_pairs(rows.join(maps, "doc").withColumn("label", F.col("doc")), percent, True), docs, classes, k, percent))
@@ -471,8 +469,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     links = _stars(parts)
     release(docs.sparkSession)
     if not tried.where("not linked").isEmpty():
-        missed = cut(near_misses(_labelled(rows, parts).join(maps, "doc"), percent))
-        fine = cut(fine_bitmaps(docs, missed.select("doc").distinct(), classes, k))
+        missed = stored(near_misses(_labelled(rows, parts).join(maps, "doc"), percent))
+        fine = stored(fine_bitmaps(docs, missed.select("doc").distinct(), classes, k))
         again = _labelled(missed, parts).join(fine, "doc")
         more = cut(verified(cut(candidate_pairs(again, percent, True).join(tried.select("a", "b"), ["a", "b"], "left_anti")), docs, classes, k, percent))
         release(docs.sparkSession)
@@ -482,6 +480,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
         links = _stars(parts).union(cut(verified(rest, docs, classes, k, percent)).where("linked").select("a", "b"))
         release(docs.sparkSession)
     parts = cut(connected_components(links.union(shared)))
+    drop(listed)
     named = cut(classes.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc")))
     lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = join_hot(named.select("label", *same), lowest, ["label"]).select(*same, "component_id")
