@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .spark_util import connected_components, cut, drop, join_hot, release, shuffle_partitions, small_or_shuffled, stored
+from .spark_util import connected_components, cut, drop, join_hot, release, shuffle_partitions, small_or_shuffled, stored, trim_workers
 
 #: Fewest and most cells of the sketch, as powers of two.
 SKETCH_BITS = (20, 24)
@@ -445,6 +445,7 @@ def _stars(parts: DataFrame) -> DataFrame:
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (smallest linked doc_id, itself included)."""
     docs = docs.select("doc_id", "text")
+    trim_workers(docs.sparkSession)
     sketch, sizes = count_sketch(docs, k)
     used = sketch[sketch > 0]
     boundary = size_boundary(sizes, float(2 ** ((np.quantile(used, 0.1) - 1) / 8)) if len(used) else 0.0, percent)
@@ -454,17 +455,22 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     full = sig.where("n > 0 and doc_id is not null")
     one = signatures(docs, k, percent, sketch, boundary).where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("firsts", "subsets", "bits")))
     made = stored(one.withColumn("doc", F.monotonically_increasing_id()))
-    classes = made.select("doc", "rep", *same)
+    classes = stored(made.select("doc", "rep", *same))
     # classes that hold texts of one doc_id
     several = full.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("x"), F.max(F.struct(*same)).alias("y")).where("x <> y").select("doc_id")
     texts = full.join(small_or_shuffled(several), "doc_id", "left_semi").select("doc_id", *same).distinct().join(classes.drop("rep"), same)
     shared = cut(texts.join(texts.groupBy("doc_id").agg(F.min("doc").alias("a")), "doc_id").select("a", F.col("doc").alias("b")))
     keys = made.select("doc", "n", F.size("firsts").alias("placed"), F.posexplode(F.concat("firsts", "subsets")).alias("at", "key"))
     listed = stored(partnered(keys.select("key", "doc", "n", F.when(F.col("at") < F.col("placed"), F.col("at")).otherwise(0).alias("pos")), percent))
+    del keys
+    maps = stored(made.select("doc", "bits"))
+    drop(made)
     rows = in_blocks(listed)
-    release(docs.sparkSession)
-    maps = made.select("doc", "bits")
-    tried = cut(verified(candidate_pairs(rows.join(maps, "doc").withColumn("label", F.col("doc")), percent, True), docs, classes, k, percent))
+    trim_workers(docs.sparkSession)
+    # kept before it is verified, which reads it several times
+    pairs = stored(candidate_pairs(rows.join(maps, "doc").withColumn("label", F.col("doc")), percent, True))
+    tried = cut(verified(pairs, docs, classes, k, percent))
+    drop(pairs)
     parts = cut(connected_components(tried.where("linked").select("a", "b")))
     links = _stars(parts)
     release(docs.sparkSession)
